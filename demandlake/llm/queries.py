@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from demandlake.llm.decontamination import op5_template_decontamination
 from demandlake.llm.matrices import op10_best_fit_matrix
+from demandlake.llm.near_dedup import op7_setsketch_near_dedup
 from demandlake.llm.packing import op4_column_generation_packing
+from demandlake.llm.quality_rules import op8_line_frequency_quality
 from demandlake.llm.secrets import op9_blob_ledger_secrets
 from demandlake.llm.sharding import op3_rendezvous_sharding
+from demandlake.llm.substring_dedup import op2_fixed_block_substrings
 
 QUERIES = (
+    op2_fixed_block_substrings,
     op3_rendezvous_sharding,
     op4_column_generation_packing,
+    op5_template_decontamination,
+    op7_setsketch_near_dedup,
+    op8_line_frequency_quality,
     op9_blob_ledger_secrets,
     op10_best_fit_matrix,
 )

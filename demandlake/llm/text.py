@@ -133,13 +133,31 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> Spans:
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``n`` positions lie in a window of ``length`` from one of ``starts``."""
+    """Which of ``n`` positions lie in a window of ``length`` from one of ``starts``,
+    which are distinct and leave their window room."""
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + length, n), -1)
+    steps[starts] += 1
+    steps[starts + length] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
+    flags = np.zeros(len(keys), bool)
+    flags[order[1:][same]] = True
+    flags[order[:-1][same]] = True
+    return flags
+
+
+def per_text(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of the flags are set in each text, given where each text begins."""
+    sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+    return sums[first[1:]] - sums[first[:-1]]
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true values."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from demandlake.llm.decontamination import op5_template_decontamination
+from demandlake.llm.language_model import op6_hashed_maxent_scores
 from demandlake.llm.matrices import op10_best_fit_matrix
 from demandlake.llm.near_dedup import op7_setsketch_near_dedup
 from demandlake.llm.packing import op4_column_generation_packing
@@ -14,12 +15,15 @@ from demandlake.llm.quality_rules import op8_line_frequency_quality
 from demandlake.llm.secrets import op9_blob_ledger_secrets
 from demandlake.llm.sharding import op3_rendezvous_sharding
 from demandlake.llm.substring_dedup import op2_fixed_block_substrings
+from demandlake.llm.suffix_dedup import op1_suffix_array_dedup
 
 QUERIES = (
+    op1_suffix_array_dedup,
     op2_fixed_block_substrings,
     op3_rendezvous_sharding,
     op4_column_generation_packing,
     op5_template_decontamination,
+    op6_hashed_maxent_scores,
     op7_setsketch_near_dedup,
     op8_line_frequency_quality,
     op9_blob_ledger_secrets,

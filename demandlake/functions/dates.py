@@ -15,13 +15,10 @@ def month_ends_after(day: Column, periods: int) -> Column:
 
     A day that is itself a month end starts with the following one.
     """
+    if periods < 1:
+        return F.array().cast("array<date>")
     skip = (F.last_day(day) == day).cast("int")
     return F.transform(
         F.sequence(F.lit(0), F.lit(periods - 1)),
         lambda i: F.last_day(F.add_months(F.trunc(day, "month"), i + skip)),
     )
-
-
-def month_index(day: Column) -> Column:
-    """Months since year 0, for trend regressions."""
-    return F.year(day) * 12 + F.month(day) - 1

@@ -11,13 +11,8 @@ MISSING = -1
 
 
 def hash_key(*parts: Column) -> Column:
-    """Non-negative 64-bit key, NULL-safe and without ANSI overflow.
-
-    ``abs`` fails on the smallest long under ANSI; ``try_subtract`` yields NULL
-    there, which ``greatest`` skips.
-    """
-    h = F.xxhash64(*parts)
-    return F.greatest(h, F.try_subtract(F.lit(0).cast("bigint"), h))
+    """Non-negative 64-bit key: the hash without its sign bit."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def dimension_key(natural: Column) -> Column:

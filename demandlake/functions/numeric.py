@@ -9,7 +9,11 @@ MONEY = "decimal(18,4)"
 
 
 def money_sum(value: Column) -> Column:
-    """Exact total of an amount, as a double."""
+    """Exact total of an amount, as a double.
+
+    Amounts count to four decimals, finer ones are rounded to that; a total beyond
+    eighteen digits raises under ANSI.
+    """
     return F.sum(value.cast(MONEY)).cast("double")
 
 

@@ -223,7 +223,13 @@ def forecast_table(forecast: DataFrame, group: str = "job_category", ts: str = "
 
 
 def evaluation_table(evaluation: DataFrame, group: str = "job_category") -> DataFrame:
+    """Metrics in their published form, rounded."""
     return evaluation.select(
-        group, "MAE", "RMSE", F.col("`MAPE(%)`"), "R2_Score", "DataPoints",
+        group,
+        F.round("MAE", 2).alias("MAE"),
+        F.round("RMSE", 2).alias("RMSE"),
+        F.round(F.col("`MAPE(%)`"), 2).alias("MAPE(%)"),
+        F.round("R2_Score", 3).alias("R2_Score"),
+        "DataPoints",
         F.current_timestamp().alias("evaluated_at"),
     )

@@ -20,7 +20,7 @@ FACT_KEY = ("job_link", "skill_id", "location_id")
 
 
 def _exploded_skills(silver: DataFrame) -> DataFrame:
-    return silver.select(F.upper(F.explode("skills_required")).alias("skill_name"))
+    return silver.select(F.explode(F.transform("skills_required", F.upper)).alias("skill_name"))
 
 
 def dim_skill(silver: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def fact_job_posting(silver: DataFrame, unique_links: bool = True) -> DataFrame:
     )
 
 
-# Dimension, its key, and whether the fact always has a value for it.
+# The key of each dimension, in the dimension and in the fact.
 STAR_KEYS = {
     "dim_skill": "skill_id",
     "dim_location": "location_id",

@@ -15,10 +15,17 @@ SOURCE = "ITviec"
 def merge_raw(
     old: DataFrame, new: DataFrame, key: str = "job_link", order: Sequence[str] = ()
 ) -> DataFrame:
-    """Old rows then new rows, the first of each key; a missing key counts as one key."""
-    tagged = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
-    ranked = total_order(old, order, [key])
-    return first_per_key(tagged, [key], ["__batch", *ranked]).select(*old.columns)
+    """Old rows then new rows, the first of each key; a missing key counts as one key.
+
+    Crawls may differ in their headers: the result has all columns, NULL where a crawl
+    lacks one.
+    """
+    tagged = old.withColumn("__batch", F.lit(0)).unionByName(
+        new.withColumn("__batch", F.lit(1)), allowMissingColumns=True
+    )
+    merged = tagged.drop("__batch")
+    ranked = total_order(merged, order, [key])
+    return first_per_key(tagged, [key], ["__batch", *ranked]).select(*merged.columns)
 
 
 def stamp_bronze(raw: DataFrame, source: str = SOURCE) -> DataFrame:

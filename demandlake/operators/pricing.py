@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlake.functions.numeric import intercept, slope
 from demandlake.operators.retail import MISSING_CATEGORY, ensure_columns, impute
+from demandlake.session import scratch_root
 
 # --- Fixed values: the model's inputs and the grid. ---
 FEATURES = (
@@ -44,8 +45,10 @@ def category_codes(lines: DataFrame) -> DataFrame:
 def training_frame(features: DataFrame, seed: int = 42) -> DataFrame:
     """Imputed features with a stable 85/15 training/validation mark."""
     inputs = [c for c in FEATURES if c != "payment_method_code"]
-    ready = impute(ensure_columns(features, [*inputs, "payment_method"]))
+    ready = impute(ensure_columns(features, inputs, ["payment_method"]))
     draw = F.pmod(F.xxhash64(F.lit(seed), *features.columns), F.lit(100))
+    # A missing number counts as 0, in training and in scoring.
+    ready = ready.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs})
     return ready.withColumns({
         "is_val": draw < int(VALIDATION_SHARE * 100),
         "label": F.col(LABEL).cast("double"),
@@ -57,17 +60,24 @@ def fit_demand(
     trees: int = TREES,
     learning_rate: float = LEARNING_RATE,
     depth: int = DEPTH,
-    tolerance: float = 1e-4,
+    tolerance: float = 0.0,
     seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees for the quantity of an order line, stopping on validation error."""
+    """Boosted trees for the quantity of an order line.
+
+    Training ends at ``trees``, or before at the first tree that lowers the validation
+    error by no more than ``tolerance`` of it.
+    """
+    spark = training.sparkSession
+    # Boosting cuts its lineage every ten trees, in the folder that all executors share.
+    spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return Pipeline(stages=[
         payment_codes(),
         # A plain number: as a category it would be limited by the tree's bins.
         SQLTransformer(
             statement="SELECT *, payment_method_ix + 0D AS payment_method_code FROM __THIS__"
         ),
-        VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep"),
+        VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
         GBTRegressor(
             featuresCol="features", labelCol="label", predictionCol="predicted_quantity",
             maxIter=trees, stepSize=learning_rate, maxDepth=depth,
@@ -98,7 +108,8 @@ def with_base_price(products: DataFrame) -> DataFrame:
 
 
 def grid_price(index: Column, low: float, high: float, points: int) -> Column:
-    return F.col("base_price") * (F.lit(low) + F.lit(high - low) * index / (points - 1))
+    width = round(high - low, 12)
+    return F.col("base_price") * (F.lit(low) + F.lit(width) * index / max(points - 1, 1))
 
 
 def price_grid(

@@ -12,6 +12,7 @@ from demandlake.functions.numeric import MONEY, money_avg
 TOLERANCE = 0.01
 PREVIEW = 10
 
+# The columns and keys that the checks count.
 LINE_COLUMNS = ("customer_id", "order_date", "product_id", "price", "quantity", "total_price")
 FACT_KEYS = {
     "customer": "customerkey",

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.functions.numeric import money_avg, money_sum
-from demandlake.operators.keyed import first_per_key
+from demandlake.session import stage
 
+# The columns of the feature table.
 FEATURE_COLUMNS = (
     "customer_id", "product_id", "order_date", "year", "month", "day", "dow",
     "quantity", "price", "total_price", "review_score", "payment_method", "city",
@@ -68,25 +69,30 @@ def rfm(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("frequency"),
         money_sum(F.col("total_price")).alias("monetary"),
     )
-    latest = lines.select(F.max("order_date")).scalar()
-    return customers.select(
+    customers = stage(customers, "customers")
+    latest = customers.agg(F.max("last_purchase").alias("latest"))
+    return customers.crossJoin(F.broadcast(latest)).select(  # one row
         "customer_id",
-        F.date_diff(latest, "last_purchase").alias("recency"),
+        F.date_diff("latest", "last_purchase").alias("recency"),
         "frequency",
         "monetary",
     )
 
 
-def ensure_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing columns as 0."""
-    return df.withColumns({c: F.lit(0) for c in columns if c not in df.columns})
+def ensure_columns(
+    df: DataFrame, numbers: Sequence[str], texts: Sequence[str] = ()
+) -> DataFrame:
+    """Missing number columns as 0 and missing text columns as NULL."""
+    missing = {c: F.lit(0) for c in numbers if c not in df.columns}
+    missing |= {c: F.lit(None).cast("string") for c in texts if c not in df.columns}
+    return df.withColumns(missing)
 
 
 def median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median as one row.
+    """Exact median of a column with few distinct values (ages, scores), as one row.
 
-    Values are counted first, so what reaches the last task is one row per
-    distinct value (ages, scores), whatever the number of rows.
+    Values are counted first: the last task gets one row per distinct value. For a
+    continuous column use an approximate percentile instead.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.percentile(column, F.lit(0.5), F.col("n")).alias("median"))
@@ -102,27 +108,19 @@ def impute(features: DataFrame) -> DataFrame:
     })
 
 
-def representative(features: DataFrame) -> DataFrame:
-    """The latest order line of each product; ties go by the remaining columns."""
-    others = [c for c in features.columns if c not in ("product_id", "order_date")]
-    return first_per_key(features, ["product_id"], [F.desc("order_date"), *others])
-
-
-def sample_rows(df: DataFrame, fraction: float = 0.10, seed: int = 42) -> DataFrame:
-    """Bernoulli sample by a hash of the row.
+def representative(lines: DataFrame) -> DataFrame:
+    """The latest order line of each product; ties go by the remaining columns.
 
-    Unlike ``DataFrame.sample`` the choice does not depend on how rows are spread
-    over tasks, so a retried task keeps the same rows.
+    One aggregate over the lines themselves, so a popular product is reduced before the
+    shuffle; join the statistics of the products afterwards.
     """
-    parts = 1 << 20
-    draw = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(parts))
-    return df.where(draw < int(fraction * parts))
+    others = sorted(c for c in lines.columns if c not in ("product_id", "order_date"))
+    ranked = F.struct((-F.unix_date("order_date")).alias("__age"), "order_date", *others)
+    latest = lines.groupBy("product_id").agg(F.min(ranked).alias("row"))
+    return latest.select("product_id", "row.*").drop("__age").select(*lines.columns)
 
 
-def sample_above(
-    df: DataFrame, max_rows: int | None = None, fraction: float = 0.10, seed: int = 42
-) -> DataFrame:
-    """Sample only tables above ``max_rows``; off by default, as training is distributed."""
-    if max_rows is None or df.count() <= max_rows:
-        return df
-    return sample_rows(df, fraction, seed)
+def sample_rows(df: DataFrame, fraction: float = 0.10, seed: int = 42) -> DataFrame:
+    """Bernoulli sample of a stored copy of ``df``: each row is drawn by itself, equal rows
+    too, and a retried task reads the same file and draws the same rows."""
+    return stage(df, "sampled").sample(fraction, seed)

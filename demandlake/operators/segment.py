@@ -8,11 +8,14 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandlake.session import stage
+
 RFM = ("recency", "frequency", "monetary")
 
 
 def rfm_scaled(rfm: DataFrame) -> DataFrame:
     """Z-scores with the sample deviation; a constant column scales to 0."""
+    rfm = stage(rfm, "rfm")
     moments = rfm.agg(
         *[F.avg(c).alias(f"{c}_mean") for c in RFM],
         *[F.stddev_samp(c).alias(f"{c}_sd") for c in RFM],

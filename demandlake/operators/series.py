@@ -14,14 +14,13 @@ from demandlake.operators.gold import star_join
 
 TRAIN_SHARE = 0.8
 MIN_POINTS = 3
-MIN_POINTS_EVALUATED = 6
 PERIODS = 3
 
 
 def postings_by(
     fact: DataFrame, dim_date: DataFrame, dim_category: DataFrame, grain: str = "month"
 ) -> DataFrame:
-    """Postings per period and category, by ``month`` or ``day``, in time order.
+    """Postings per period and category, by ``month`` or ``day``.
 
     The fact is reduced to one row per key pair before the dimensions are joined.
     """
@@ -36,8 +35,7 @@ def postings_by(
         period = [F.col("date_posted").alias("ds")]
     else:
         raise ValueError(f"grain must be 'month' or 'day', not {grain!r}")
-    totals = named.groupBy(*period, category).agg(F.sum("jobs").alias("total_jobs"))
-    return totals.orderBy(*totals.columns[:-1])
+    return named.groupBy(*period, category).agg(F.sum("jobs").alias("total_jobs"))
 
 
 def monthly_series(counts: DataFrame) -> DataFrame:
@@ -136,8 +134,8 @@ def forecast_metrics(
         total > 0, 1 - squared / total
     ).otherwise(F.when(squared == 0, 1.0).otherwise(0.0)))
     return pred.groupBy(group).agg(
-        F.round(F.avg(F.abs(error)), 2).alias("MAE"),
-        F.round(F.sqrt(F.avg(error * error)), 2).alias("RMSE"),
-        F.round(F.avg(F.abs(error / F.nullif(F.col(y), F.lit(0)))) * 100, 2).alias("MAPE(%)"),
-        F.round(r2, 3).alias("R2_Score"),
+        F.avg(F.abs(error)).alias("MAE"),
+        F.sqrt(F.avg(error * error)).alias("RMSE"),
+        (F.avg(F.abs(error / F.nullif(F.col(y), F.lit(0)))) * 100).alias("MAPE(%)"),
+        r2.alias("R2_Score"),
     )

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.functions import rules
-from demandlake.operators.keyed import first_per_key, new_rows, total_order
+from demandlake.operators.keyed import first_per_key, total_order
 
 REQUIRED = ("job_title", "company_name", "location", "job_link")
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+    """Trimmed lower-case names, words joined by underscores."""
+    return df.withColumnsRenamed({
+        name: "_".join(name.strip().lower().split(" ")) for name in df.columns
+    })
 
 
 def standardise(raw: DataFrame) -> DataFrame:
@@ -48,11 +51,17 @@ def clean_postings(raw: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 def silver_delta(bronze: DataFrame, silver: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Silver rows for links that silver does not hold yet."""
-    valid = complete(standardise(bronze))
-    return new_rows(valid, silver, "job_link", order).withColumn(
-        "clean_time", F.current_timestamp()
-    )
+    """Silver rows for links that silver does not hold yet.
+
+    The links are compared first, on one narrow column of each table; only rows with a new
+    link are standardised and ranked.
+    """
+    fresh = normalise_headers(bronze).join(silver.select("job_link"), "job_link", "left_anti")
+    return clean_postings(fresh, order).select(*fresh_columns(bronze), "clean_time")
+
+
+def fresh_columns(bronze: DataFrame) -> list[str]:
+    return normalise_headers(bronze).columns
 
 
 def explode_locations(raw: DataFrame) -> DataFrame:

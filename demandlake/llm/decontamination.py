@@ -3,8 +3,9 @@
 Texts are split into words, and each word is canonicalised: numbers, capitalised words
 (names) and units become typed placeholders, all else is lower-cased. Windows of template
 words are hashed on both sides and joined, so a question that was given other numbers,
-names or units still meets its original. A hit counts only if its slots map one to one:
-wherever the item repeats a value, the document repeats the value that took its place.
+names or units still meets its original. A hit counts if its slots map one to one: wherever
+the item repeats a value, the document repeats the value that took its place. A stretch of
+``VERBATIM`` windows that agree in their slot values as well counts by itself.
 
 Only DataFrame functions are used.
 """
@@ -19,6 +20,8 @@ from demandlake.llm.tables import stage, table, text_or_empty
 WINDOW = 8
 # Items shorter than a window are matched whole, from this length on.
 SHORTEST = 5
+# Windows of an alignment without any other value, enough without one-to-one slots.
+VERBATIM = 6
 # Words of a window that are not placeholders, at least.
 LEAST_LITERAL = 4
 
@@ -128,6 +131,7 @@ def _consistent(docs: DataFrame, hits: DataFrame, item_windows: DataFrame) -> Da
     )
     aligned = pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count(F.lit(1)).alias("n_windows"),
+        F.count_if(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("n_verbatim"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     n = F.size("pairs")
@@ -136,7 +140,7 @@ def _consistent(docs: DataFrame, hits: DataFrame, item_windows: DataFrame) -> Da
         & (n == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["doc"])))))
     )
     return (
-        aligned.filter(one_to_one)
+        aligned.filter(one_to_one | (F.col("n_verbatim") >= VERBATIM))
         .withColumn("verbatim", F.forall("pairs", lambda p: p["item"] == p["doc"]))
         .groupBy("doc_id", "item_id").agg(
             F.max("n_windows").alias("n_windows"),

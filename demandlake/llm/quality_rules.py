@@ -166,7 +166,7 @@ def op8_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for i, cut in enumerate(batch.column("cut_lines").to_pylist()):
+        for i, cut in enumerate(batch.column("__cut_lines").to_pylist()):
             if not cut:
                 continue
             data = np.frombuffer(texts[i].encode(), np.uint8)
@@ -177,7 +177,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in zip(lines.starts[gone], lines.ends[gone]):
                 left[start:end + 1] = False
             texts[i] = data[left].tobytes().decode()
-        yield batch.drop_columns(["cut_lines"]).set_column(
+        yield batch.drop_columns(["__cut_lines"]).set_column(
             batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())
         )
 
@@ -198,7 +198,7 @@ def clean(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -
         named["doc_id"].eqNullSafe(verdicts["doc_id"])
         & (named["__host"] == verdicts["host"]) & (named["__hash"] == verdicts["text_hash"]),
     )
-    cut = joined.select(*(named[c] for c in docs.columns), verdicts["cut_lines"]).mapInArrow(
+    cut = joined.select(*(named[c] for c in docs.columns), verdicts["cut_lines"].alias("__cut_lines")).mapInArrow(
         _cut_batches, docs.schema
     )
     if "n_chars" in docs.columns:

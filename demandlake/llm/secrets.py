@@ -173,7 +173,7 @@ def op9_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
+        for i, spans in enumerate(batch.column("__spans").to_pylist()):
             if not spans:
                 continue
             out, at = [], 0
@@ -184,7 +184,7 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     out += [texts[i][at:s["start"]], "[secret]"]
                 at = s["end"]
             texts[i] = "".join([*out, texts[i][at:]])
-        yield batch.drop_columns(["spans"]).set_column(
+        yield batch.drop_columns(["__spans"]).set_column(
             batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())
         )
 
@@ -200,7 +200,7 @@ def redact_secrets(docs: DataFrame, ledger_root: str | None = None) -> DataFrame
     hits = stage(ledger.found(RULE_VERSION).withColumnRenamed("spans", "__spans"), "secret-blobs")
     named = docs.withColumn("__blob", F.sha2(text_or_empty().cast("binary"), 256))
     joined = named.join(hits, named["__blob"] == hits["blob"], "left").select(
-        *docs.columns, F.col("__spans").alias("spans")
+        *(named[c] for c in docs.columns), hits["__spans"]
     )
     clean = joined.mapInArrow(_redact_batches, docs.schema)
     if "n_chars" in docs.columns:

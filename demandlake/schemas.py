@@ -16,8 +16,6 @@ def text_columns(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-RAW = text_columns(RAW_COLUMNS)
-
 BRONZE = (
     ", ".join(f"{c} string" for c in RAW_COLUMNS) + ", ingest_time timestamp, source string"
 )

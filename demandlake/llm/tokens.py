@@ -7,7 +7,7 @@ words, and gathers the ids of all words with numpy.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,11 +19,15 @@ from demandlake.llm.text import CHUNK_BYTES
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 1
-# A worker forgets its pieces beyond so many; it then encodes them again.
-_REMEMBERED = 300_000
+# A worker keeps two generations of so many words each; the older one is dropped.
+_REMEMBERED = 250_000
 # Words are encoded together for about so many bytes of text.
-_RUN_BYTES = 8 * CHUNK_BYTES
-_LETTERS = re.compile(r"[a-z]+")
+_RUN_BYTES = 12 * CHUNK_BYTES
+# Below this code point a lower-cased letter is its own normal form.
+_PLAIN = "\u0250"
+_END_SIGNS = ".,;:!?"
+# Marks the tokenizer's special strings, which are told by their case.
+_SPECIAL = "<|"
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -32,34 +36,63 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each Latin-1 code point: itself if it
+    is a printable sign, else one of the code points from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
+
+
 class WordEncoder:
-    """Ids of single words. A run of a-z goes to the model, past the normaliser."""
+    """Ids of single words as little-endian bytes. Words of plain letters go to the
+    tokenizer's model at once, past its normaliser and splitter."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, word: str) -> tuple[int, ...]:
-        ids = self._known.get(word)
-        if ids is None:
-            if len(self._known) >= _REMEMBERED:
-                self._known.clear()
-            self._known[word] = ids = self._encode(word)
-        return ids
-
-    def _encode(self, word: str) -> tuple[int, ...]:
-        lower = word.lower() if word.isascii() else word
-        if _LETTERS.fullmatch(lower):
-            return tuple(t.id for t in self._model.tokenize(lower))
-        core = lower.rstrip(".,;:!?")
-        tail = lower[len(core):]
-        if tail and _LETTERS.fullmatch(core):
-            # Letters and a run of signs that holds no apostrophe are pieces of their own.
-            return self(core) + self(tail)
-        return tuple(self._tokenizer.encode(word, add_special_tokens=False).ids)
+        self._pieces = self._tokenizer.model.tokenize
+        self._letters = byte_letters()
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if len(self._known) >= _REMEMBERED:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        found = [known.get(w) for w in words]
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = older.get(word)
+                if ids is None:
+                    ids = self._encode(word)
+                found[i] = known[word] = ids
+        return found
+
+    def _encode(self, word: str) -> bytes:
+        lower = word.lower()
+        if lower.isalpha() and max(lower) < _PLAIN:
+            return self._plain(lower)
+        core = lower.rstrip(_END_SIGNS)
+        if core != lower and core.isalpha() and max(core) < _PLAIN:
+            # Letters, and a run of signs without an apostrophe, are pieces of their own.
+            tail = lower[len(core):]
+            signs = self._known.get(tail)
+            if signs is None:
+                signs = self._known[tail] = self._whole(tail)
+            letters = self._known.get(core)
+            return (self._plain(core) if letters is None else letters) + signs
+        return self._whole(word)
+
+    def _plain(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self._letters)
+        return array("I", [piece.id for piece in self._pieces(letters)]).tobytes()
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -84,6 +117,9 @@ def encode_texts(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray,
 
 
 def _encode_run(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
+    if not pc.any(pc.match_substring(texts, _SPECIAL)).as_py():
+        # The tokenizer would do so; fewer distinct words are left.
+        texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
     n_words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(parts)
@@ -94,9 +130,9 @@ def _encode_run(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.n
         n_words = np.bincount(owner, minlength=len(texts))
         flat = flat.filter(used)
     coded = flat.dictionary_encode()
-    pieces = [encoder(w) for w in coded.dictionary.to_pylist()]
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    store = np.fromiter((i for p in pieces for i in p), np.uint32, int(lengths.sum()))
+    pieces = encoder(coded.dictionary.to_pylist())
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    store = np.frombuffer(b"".join(pieces), np.uint32)
     starts = np.cumsum(lengths) - lengths
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 

@@ -4,9 +4,9 @@ A document's set is its distinct five-word shingles. Equal sets are one class fr
 start, so exact copies cost nothing later. Each class keeps a sketch of exponentially
 spaced, truncated minima: registers merge by maximum and agree about as often as sets
 overlap. Equal bands of registers put classes into buckets; a bucket is not expanded into
-pairs but compared with one pivot, and only classes that are still apart after that are
-compared with the others. Pairs whose likelihood estimate from the registers is far below
-the threshold are dropped, all others are confirmed on their full sets.
+pairs but compared with one pivot. Pairs whose likelihood estimate from the registers is far
+below the threshold are dropped, the others are confirmed on their full sets. Classes that
+are still apart from most of their group are then compared with all of it, block by block.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 # Below the threshold by six deviations of the estimate: 0.75 - 6 * sqrt(0.75 * 0.25 / 240).
 LEAST_ESTIMATE = 0.58
+# Classes compared at a time, of those apart from most of their group and of all of it.
+OUTSIDER_BLOCK, MEMBER_BLOCK = 1000, 4000
 
 _rng = np.random.default_rng(7)
 _FACTOR = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -181,83 +184,120 @@ def _both(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each end of an edge, its root the least node it reaches.
 
-    Alternating large and small stars; every step joins on one end of an edge and is
-    written out, and ends when a step changes nothing.
+    Alternating large and small stars: every node hands its greater neighbours, then its
+    lesser ones, to the least that it knows. Each step joins on one end of an edge and is
+    written out; the last leaves every node with one root that is no one's child.
     """
-
-    def state(df: DataFrame):
-        row = df.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        return row["n"], row["h"]
-
     edges = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a != b").distinct(), "edges",
     )
-    before = state(edges)
-    while before[0]:
+    while not _are_stars(edges):
         ways = _both(edges)
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = ways.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stage(large.distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+        small = large.join(least, "a").filter("b != m")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.select("a", F.col("m").alias("b"))
         )
         edges = stage(small.distinct(), "small-star")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
-class _Linker:
-    """Confirms candidate pairs of classes and keeps the links found so far."""
+def _are_stars(edges: DataFrame) -> bool:
+    roles = edges.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root"))
+    )
+    mixed = roles.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return mixed.filter("child + root > 1").isEmpty()
 
-    def __init__(self, classes: DataFrame, sets: DataFrame, members: DataFrame):
-        self._classes = classes.select("set_id", "n_shingles", "sketch")
-        self._sets = sets
-        self._members = members
-        self.links: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs(a, b)``: sizes, then sketches, then full sets."""
-        a = self._classes.select(
-            F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")
-        )
-        b = self._classes.select(
-            F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")
-        )
-        sized = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sized = sized.join(a, "a").join(b, "b").filter(
-            100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-        )
-        likely = stage(sized.mapInArrow(_likely_batches, "a long, b long"), "likely-pairs")
-        left = self._sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a"))
-        right = self._sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b"))
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - shared
-        found = likely.join(left, "a").join(right, "b").filter(
-            100 * shared >= PERCENT * union
-        ).select("a", "b")
-        found = stage(found, "links")
-        self.links = found if self.links is None else self.links.union(found)
-
-    def apart(self) -> tuple[DataFrame, DataFrame]:
-        """Roots of linked classes, and the members of buckets that hold several roots."""
-        roots = stage(components(self.links), "roots")
-        rooted = self._members.join(roots, self._members["set_id"] == roots["node"], "left").select(
-            "band", "set_id", F.coalesce("root", "set_id").alias("root")
-        )
-        rooted = stage(rooted, "rooted")
-        open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = open_.filter("low != high").select("band")
-        return roots, stage(rooted.join(open_, "band", "left_semi"), "open-buckets")
+def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among candidate ``pairs(a, b)``: by sizes, then sketches, then full sets."""
+    a = classes.select(
+        F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")
+    )
+    b = classes.select(
+        F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")
+    )
+    sized = pairs.join(a, "a").join(b, "b").filter(
+        100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    )
+    likely = stage(sized.mapInArrow(_likely_batches, "a long, b long"), "likely-pairs")
+    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - shared
+    found = likely.join(left, "a").join(right, "b").filter(100 * shared >= PERCENT * union)
+    return stage(found.select("a", "b"), "links")
+
+
+def _block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between the outsiders and the members of a block, one per outsider and root."""
+    sets = block["shingles"].tolist()
+    size = np.array([len(s) for s in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    ids, roots = block["set_id"].to_numpy(), block["root"].to_numpy()
+    member = np.flatnonzero(~block["outside"].to_numpy())
+    flat = np.concatenate([place[first[m]:first[m] + size[m]] for m in member]) if len(member) else place[:0]
+    begin = np.cumsum(size[member]) - size[member]
+    held = np.zeros(len(values), bool)
+    found: dict[tuple[int, int], int] = {}
+    for o in np.flatnonzero(block["outside"].to_numpy()) if len(member) else ():
+        mine = place[first[o]:first[o] + size[o]]
+        held[mine] = True
+        shared = np.add.reduceat(held[flat], begin, dtype=np.int64)
+        held[mine] = False
+        near = 100 * shared >= PERCENT * (size[o] + size[member] - shared)
+        for m in member[near & (roots[member] != roots[o])]:
+            found[int(ids[o]), int(roots[m])] = int(ids[m])
+    return pd.DataFrame([(o, m) for (o, _), m in found.items()], columns=["a", "b"])
+
+
+def links_of_outsiders(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes of one group and different roots, given
+    ``grouped(set_id, node_group, root)``.
+
+    The classes of a group's most common root are linked already; all others are outsiders
+    and are compared with the whole group, on full sets. Outsiders and members are split
+    into blocks, and each pair of blocks is a task: a group of any size is never gathered.
+    """
+    held = grouped.groupBy("node_group", "root").agg(F.count(F.lit(1)).alias("held"))
+    facts = held.groupBy("node_group").agg(
+        F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("n"),
+        (F.sum("held") - F.max("held")).alias("n_outside"),
+    ).filter("n_outside > 0")
+    facts = stage(facts.select(
+        "node_group", "main",
+        F.ceil(F.col("n") / MEMBER_BLOCK).alias("m_blocks"),
+        F.ceil(F.col("n_outside") / OUTSIDER_BLOCK).alias("o_blocks"),
+    ), "open-groups")
+    rows = stage(grouped.join(facts, "node_group").join(sets, "set_id"), "open-classes")
+
+    def blocks(count: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("set_id"), F.col(count))
+
+    columns = ["node_group", "set_id", "root", "shingles"]
+    members = rows.select(
+        *columns, own("m_blocks").alias("m"), F.explode(blocks("o_blocks")).alias("o"),
+        F.lit(False).alias("outside"),
+    )
+    outsiders = rows.filter("root != main").select(
+        *columns, F.explode(blocks("m_blocks")).alias("m"), own("o_blocks").alias("o"),
+        F.lit(True).alias("outside"),
+    )
+    found = members.union(outsiders).groupBy("node_group", "m", "o").applyInPandas(
+        _block_links, "a long, b long"
+    )
+    return stage(found, "outsider-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = bands.groupBy("band").agg(
         F.min("set_id").alias("pivot"), F.max("set_id").alias("last")
     ).filter("pivot != last").drop("last")
-    members = stage(bands.join(stage(pivots, "buckets"), "band"), "members")
+    members = stage(bands.join(stage(pivots, "buckets"), "band").select("set_id", "pivot"), "members")
 
     candidates = classes.join(members.select("set_id").distinct(), "set_id", "left_semi")
     wanted = stage(candidates.select(F.col("first_doc").alias("doc_id"), "set_id"), "candidates")
@@ -288,33 +328,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     sets = stage(sets, "shingle-sets")
 
-    linker = _Linker(stage(candidates, "candidate-classes"), sets, members)
-    linker.confirm(members.filter("set_id != pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
-    # Once more with another pivot in each bucket that is not yet of one root.
-    _, open_ = linker.apart()
-    other = open_.groupBy("band").agg(
-        F.min_by(F.struct("set_id", "root"), F.xxhash64("set_id", "band")).alias("pivot")
-    )
-    linker.confirm(
-        open_.join(other, "band").filter(F.col("root") != F.col("pivot.root"))
-        .select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"))
-    )
-    # What is still apart is compared with all of its bucket: the members outside the
-    # bucket's most common root against everyone of another root.
-    _, open_ = linker.apart()
-    main = (
-        open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"))
-        .groupBy("band").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
-    )
-    outside = open_.join(main, "band").filter("root != main").select(
-        "band", F.col("set_id").alias("a"), F.col("root").alias("root_a")
-    )
-    linker.confirm(
-        outside.join(open_, "band").filter(
-            (F.col("root") != F.col("root_a"))
-        ).select("a", F.col("set_id").alias("b"))
+    pairs = members.filter("set_id != pivot").select(
+        F.col("pivot").alias("a"), F.col("set_id").alias("b")
+    ).distinct()
+    pairs = stage(pairs, "pivot-pairs")
+    links = confirm(pairs, stage(candidates, "candidate-classes"), sets)
+    # Classes that share buckets, directly or not, are a group: links lie inside groups.
+    groups = components(pairs).withColumnRenamed("root", "node_group")
+    roots = components(links)
+    grouped = groups.join(roots, "node", "left").select(
+        F.col("node").alias("set_id"), "node_group", F.coalesce("root", "node").alias("root")
     )
-    roots = components(linker.links)
+    links = links.union(links_of_outsiders(stage(grouped, "grouped"), sets))
+    roots = components(links)
     reach = classes.select("set_id", "first_doc").join(
         roots, classes["set_id"] == roots["node"], "left"
     ).select("set_id", "first_doc", F.coalesce("root", "set_id").alias("root"))

@@ -7,6 +7,10 @@ names or units still meets its original. A hit counts if its slots map one to on
 the item repeats a value, the document repeats the value that took its place. A stretch of
 ``VERBATIM`` windows that agree in their slot values as well counts by itself.
 
+Placeholders follow the case of the words, so windows of plain lower-cased words are joined
+beside them: ``VERBATIM`` of them at one place of the item, or all of a shorter item, count
+whatever the case on either side and however few words are literal.
+
 Only DataFrame functions are used.
 """
 
@@ -47,7 +51,9 @@ def raw_words(text: Column) -> Column:
 def canonical(word: Column) -> Column:
     lower = F.lower(word)
     return (
-        F.when(word.rlike(r"^\p{N}"), NUMBER)
+        # Words from a small Latin letter on need no pattern.
+        F.when((word >= "a") & (word < "{"), F.when(lower.isin(*UNITS), UNIT).otherwise(lower))
+        .when(word.rlike(r"^\p{N}"), NUMBER)
         .when(word.rlike(r"^\p{Lu}"), NAME)
         .when(lower.isin(*UNITS), UNIT)
         .otherwise(lower)
@@ -58,30 +64,51 @@ def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, NAME, UNIT)
 
 
-def _windows(df: DataFrame, size: int, carried: list[str]) -> DataFrame:
-    """``carried`` with ``at`` (from 1) and ``hash`` of each window of ``word_hashes``."""
-    long_enough = df.filter(F.size("word_hashes") >= size)
-    starts = F.sequence(F.lit(1), F.size("word_hashes") - size + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("word_hashes", i, size)))
-    return long_enough.select(*carried, F.posexplode(hashes).alias("at", "hash")).withColumn(
-        "at", F.col("at") + 1
+def plain(word: Column) -> Column:
+    return F.lower(word)
+
+
+def _windows(df: DataFrame, size: int, carried: list[str], step: int = 1) -> DataFrame:
+    """``carried`` with ``at`` (from 1), ``hash`` and ``plain`` of each window of the
+    templates, and of every ``step``-th window of the plain words."""
+    n = F.size("word_hashes") - (size - 1)
+    hashes = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.xxhash64(*(F.get("word_hashes", i + k) for k in range(size))),
     )
+    hashes = F.when(n > 0, F.concat(hashes, _plain_windows(n, size, step)))
+    found = df.select(*carried, n.alias("n"), F.posexplode(hashes).alias("at", "hash"))
+    at, n = F.col("at"), F.col("n")
+    return found.select(
+        *carried, (F.when(at < n, at).otherwise((at - n) * step) + 1).alias("at"), "hash",
+        (at >= n).alias("plain"),
+    )
+
+
+def _plain_windows(n: Column, size: int, step: int = 1) -> Column:
+    starts = F.sequence(F.lit(1), n, F.lit(step))
+    return F.transform(starts, lambda i: F.xxhash64(F.transform(F.slice("words", i, size), plain)))
 
 
 def _item_windows(items: DataFrame, size: int, least_literal: int) -> DataFrame:
     found = _windows(items, size, ["item_id", "template", "words"])
+    literal = F.size(F.filter("item_template", lambda w: ~is_slot(w))) >= least_literal
     return found.select(
-        "item_id", F.col("at").alias("item_at"), F.lit(size).alias("size"), "hash",
+        "item_id", F.col("at").alias("item_at"), F.lit(size).alias("size"), "hash", "plain",
         F.slice("words", F.col("at"), size).alias("item_words"),
-        F.slice("template", F.col("at"), size).alias("item_template"),
-    ).filter(F.size(F.filter("item_template", lambda w: ~is_slot(w))) >= least_literal)
+        F.slice(
+            F.when(F.col("plain"), F.transform("words", plain)).otherwise(F.col("template")), F.col("at"), size
+        ).alias("item_template"),
+        F.least(F.size("words") - (size - 1), F.lit(VERBATIM)).alias("enough"),
+    ).filter(F.col("plain") | literal)
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_literal: int = LEAST_LITERAL,
 ) -> DataFrame:
     """One row per document and benchmark item that it holds, with the number of matching
-    windows, of distinct slot values, and whether every slot has the item's own value.
+    windows, of distinct slot values, and whether every slot has the item's own value. A pair
+    that only its plain words tie has no slots and is verbatim.
 
     Null and empty texts on either side hold nothing; items below ``SHORTEST`` words match
     nothing; repeated rows of a document or item count once; a null key never matches; an
@@ -103,34 +130,48 @@ def contaminated(
     # Spark broadcasts these hashes only if their stored size is below its threshold.
     wanted = stage(item_windows.select("hash").distinct().coalesce(1), "item-hashes")
 
-    hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", words.alias("words")).select(
-        "doc_id", F.transform("words", lambda w: F.xxhash64(canonical(w))).alias("word_hashes")
+    # Of as many neighbouring windows as a match needs, one is sent to be met.
+    step = item_windows.filter((F.col("size") == window) & F.col("plain")).agg(F.min("enough")).first()[0] or 1
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", words.alias("words"))
+    hashed = named.select(
+        "doc_id", "words", F.transform("words", lambda w: F.xxhash64(canonical(w))).alias("word_hashes")
     )
     hits = None
     for size in [window, *sorted(row["n"] for row in short)]:
-        hit = _windows(hashed, size, ["doc_id"]).join(wanted, "hash", "left_semi")
+        hit = _windows(hashed, size, ["doc_id"], step if size == window else 1).join(wanted, "hash", "left_semi")
         hits = hit if hits is None else hits.union(hit)
     hits = stage(hits.distinct(), "window-hits")
-    return _consistent(docs, hits, item_windows)
-
-
-def _consistent(docs: DataFrame, hits: DataFrame, item_windows: DataFrame) -> DataFrame:
     suspects = stage(hits.select("doc_id").distinct(), "suspects")
-    words = docs.join(suspects, "doc_id", "left_semi").select(
-        "doc_id", raw_words(text_or_empty()).alias("words")
-    ).distinct()
+    met = stage(named.join(suspects, "doc_id", "left_semi").distinct(), "suspect-words")
+    if step > 1:
+        # All plain windows of the documents that met one.
+        n = F.size("words") - (window - 1)
+        rest = met.select(
+            "doc_id", F.posexplode(F.when(n > 0, _plain_windows(n, window))).alias("at", "hash")
+        ).withColumns({"at": F.col("at") + 1, "plain": F.lit(True)}).join(wanted, "hash", "left_semi")
+        hits = stage(hits.unionByName(rest).distinct(), "all-window-hits")
+    return _consistent(met, hits, item_windows)
+
+
+def _consistent(words: DataFrame, hits: DataFrame, item_windows: DataFrame) -> DataFrame:
     pairs = (
-        hits.join(item_windows, "hash").join(words, "doc_id")
+        hits.join(item_windows, ["hash", "plain"]).join(words, "doc_id")
         .withColumn("doc_words", F.slice("words", F.col("at"), F.col("size")))
-        .filter(F.transform("doc_words", canonical) == F.col("item_template"))
+        .filter(
+            F.when(F.col("plain"), F.transform("doc_words", plain))
+            .otherwise(F.transform("doc_words", canonical)) == F.col("item_template")
+        )
         .withColumn("pairs", F.arrays_zip(
             F.col("item_template").alias("kind"), F.col("item_words").alias("item"),
             F.col("doc_words").alias("doc"),
         ))
         .withColumn("pairs", F.filter("pairs", lambda p: is_slot(p["kind"])))
     )
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    aligned = pairs.groupBy(
+        "doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("shift")
+    ).agg(
         F.count(F.lit(1)).alias("n_windows"),
+        F.min("enough").alias("enough"),
         F.count_if(F.forall("pairs", lambda p: p["item"] == p["doc"])).alias("n_verbatim"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
@@ -139,13 +180,19 @@ def _consistent(docs: DataFrame, hits: DataFrame, item_windows: DataFrame) -> Da
         (n == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))))
         & (n == F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["doc"])))))
     )
+    by_template = one_to_one | (F.col("n_verbatim") >= VERBATIM)
+
+    def best(value: Column) -> Column:
+        # Plain windows have no slots: they speak only for pairs without a template.
+        return F.coalesce(F.max(F.when(~F.col("plain"), value)), F.max(value))
+
     return (
-        aligned.filter(one_to_one | (F.col("n_verbatim") >= VERBATIM))
+        aligned.filter(F.when(F.col("plain"), F.col("n_windows") >= F.col("enough")).otherwise(by_template))
         .withColumn("verbatim", F.forall("pairs", lambda p: p["item"] == p["doc"]))
         .groupBy("doc_id", "item_id").agg(
-            F.max("n_windows").alias("n_windows"),
-            F.max(n.cast("long")).alias("n_slots"),
-            F.max("verbatim").alias("verbatim"),
+            best(F.col("n_windows")).alias("n_windows"),
+            best(n.cast("long")).alias("n_slots"),
+            best(F.col("verbatim")).alias("verbatim"),
         )
     )
 

@@ -201,6 +201,29 @@ def test_short_items_match_whole(spark):
     assert collected(decontamination.contaminated(docs, items), "doc_id", "item_id") == [(1, 1)]
 
 
+SHOUT = "Which river runs past the old mill before it meets the sea near the town"
+
+
+@pytest.mark.parametrize("item, text, hit", [
+    (SHOUT, f"THIS IS ALL LOUD . {SHOUT.upper()} . AND MORE", True),
+    (SHOUT.title(), f"quiet words {SHOUT.lower()} and more", True),
+    (SHOUT, " ".join(SHOUT.upper().split()[:13]), True),
+    (SHOUT, " ".join(SHOUT.upper().split()[:12]), False),
+    ("3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3", "digits 3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3 of pi", True),
+    ("3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3", "digits 2 7 1 8 2 8 1 8 2 8 4 5 9 0 4 5 of e", False),
+    ("One Two Three Four Five Six", "here ONE TWO THREE FOUR FIVE SIX there", True),
+    ("One Two Three Four Five Six Seven Eight Nine Ten", "one two three four five six seven eight nine ten", True),
+    ("One Two Three Four Five Six Seven Eight Nine Ten", "one two three four five six seven eight nine", False),
+])
+def test_verbatim_whatever_the_case(spark, item, text, hit):
+    docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = collected(
+        decontamination.contaminated(docs, items), "doc_id", "item_id", "n_slots", "verbatim"
+    )
+    assert found == ([(7, 1, 0, True)] if hit else [])
+
+
 def test_boilerplate_lines(spark):
     import random
 

@@ -381,13 +381,9 @@ def sample_10pct(spark, sf_dir):
     return retail.sample_rows(_features(spark, sf_dir))
 
 
-# A tenth of the default trees: the query shows the model, a pricing run trains it whole.
-QUERY_TREES = 100
-
-
 def _demand(features: DataFrame):
     training = stage(pricing.training_frame(features), "training")
-    return training, pricing.fit_demand(training, trees=QUERY_TREES)
+    return training, pricing.fit_demand(training)
 
 
 def demand_predict(spark, sf_dir):

@@ -194,3 +194,22 @@ def test_scratch_without_setting(spark):
 def test_month_ends_of_no_period(spark):
     row = spark.range(1).select(dates.month_ends_after(F.lit(DAY(2025, 1, 1)), 0).alias("d")).first()
     assert row["d"] == []
+
+
+def test_demand_queries_train_the_whole_model(spark, monkeypatch):
+    import inspect
+
+    from demandlake import queries
+    from demandlake.operators import pricing
+
+    signature, asked = inspect.signature(pricing.fit_demand), []
+
+    def fit(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        asked.append(bound.arguments["trees"])
+
+    monkeypatch.setattr(pricing, "fit_demand", fit)
+    monkeypatch.setattr(pricing, "training_frame", lambda features: features)
+    queries._demand(spark.range(3))
+    assert asked == [pricing.TREES] == [1000]

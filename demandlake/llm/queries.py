@@ -16,6 +16,7 @@ from demandlake.llm.secrets import op9_blob_ledger_secrets
 from demandlake.llm.sharding import op3_rendezvous_sharding
 from demandlake.llm.substring_dedup import op2_fixed_block_substrings
 from demandlake.llm.suffix_dedup import op1_suffix_array_dedup
+from demandlake.llm.whitening import op11_cholesky_jacobi_whitening
 
 QUERIES = (
     op1_suffix_array_dedup,
@@ -28,6 +29,7 @@ QUERIES = (
     op8_line_frequency_quality,
     op9_blob_ledger_secrets,
     op10_best_fit_matrix,
+    op11_cholesky_jacobi_whitening,
 )
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from demandlake.llm.chat_format import op12_part_visitor_chat_format
+from demandlake.llm.cross_tokenizer import op13_perfect_hash_alignment
 from demandlake.llm.decontamination import op5_template_decontamination
 from demandlake.llm.language_model import op6_hashed_maxent_scores
 from demandlake.llm.matrices import op10_best_fit_matrix
@@ -30,6 +32,8 @@ QUERIES = (
     op9_blob_ledger_secrets,
     op10_best_fit_matrix,
     op11_cholesky_jacobi_whitening,
+    op12_part_visitor_chat_format,
+    op13_perfect_hash_alignment,
 )
 
 

@@ -11,10 +11,12 @@ and looks every pair up by its slot, where the pair itself is kept and compared.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,9 +40,13 @@ HELD_PAIRS = 1 << 20
 # Vectors added by one task of a level of the tree.
 FAN_IN = 16
 # Texts are cut into units for about so many bytes at a time.
-RUN_BYTES = 8 << 20
-# A worker starts its units anew beyond so many.
-KEPT_UNITS = 400_000
+RUN_BYTES = 4 << 20
+# Beyond so many units a worker keeps those only that it has met in several runs.
+KEPT_UNITS = 200_000
+# New units are encoded together in texts of about so many bytes.
+STRING_BYTES = 1 << 11
+# UTF-8 of code points below U+0300 has only lesser bytes: what is a letter there, all agree.
+_PLAIN_BYTES = 0xCC
 _SPACE_PIECE = "▁"
 
 
@@ -52,6 +58,27 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (T.mix(keys.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
 
 
+def _quick_encoder(path: str, own: dict[str, int]):
+    """An encoder with the merges of a byte-level tokenizer file that gives ids alone; none
+    where the ids are not in the order of the merges, by which it goes."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m)) for m in merges]
+    letters = sorted(model["vocab"][c] for c in own)
+    if made != list(range(256, 256 + len(made))) or letters != list(range(256)) or model.get("ignore_merges"):
+        return None
+    ranks = {
+        bytes(own[c] for c in entry): i for entry, i in model["vocab"].items() if i < 256 + len(made)
+    }
+    return tiktoken.Encoding(
+        "units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+
+
 class Aligner:
     """Both tokenizers, and the units they have aligned, a number each."""
 
@@ -63,6 +90,7 @@ class Aligner:
         self._a.encode_special_tokens = True
         own = {letter: byte for byte, letter in byte_letters().items()}
         entries = [self._a.id_to_token(i) or "" for i in range(self._a.get_vocab_size())]
+        self._quick = _quick_encoder(byte_path, own)
         self._a_bytes = [bytes(own[c] for c in e) if all(c in own for c in e) else e.encode() for e in entries]
         self._b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
@@ -70,6 +98,15 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(_SPACE_PIECE, " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self._a_lengths, self._b_lengths = (
+            np.array([len(e) for e in entries], np.int64) for entries in (self._a_bytes, self._b_bytes)
+        )
+        # The text of each token within a group and at the end of its side.
+        self._signs = [
+            b"%d%s" % (i, sign)
+            for entries, ends in ((self._a_bytes, (b",", b"|")), (self._b_bytes, (b",", b";")))
+            for i in range(len(entries)) for sign in ends
+        ]
         self._space = self._b.piece_to_id(_SPACE_PIECE)
         #: Whether no token goes on past the beginning of a unit.
         self.cuts = (
@@ -77,28 +114,62 @@ class Aligner:
             and self._space != self._b.unk_id()
             and not any("\n" in p or re.search(f"[^{_SPACE_PIECE}]{_SPACE_PIECE}", p) for p in pieces)
         )
-        self.clear()
-
-    def clear(self) -> None:
         self._known: dict[bytes, int] = {}
+        #: Raised when units are numbered anew.
+        self.generation = 0
+        self._runs = array("q")
         self.fine, self.n_a, self.n_b, self.n_groups = bytearray(), array("q"), array("q"), array("q")
         self.links, self.ends = array("q"), array("q")
-        self.groups: list[str] = []
+        #: The groups as text, each with a semicolon after it.
+        self.groups: list[bytes] = []
+
+    def trim(self) -> None:
+        """Forget the units that were met in one run only, and at most half of the room is
+        left to the others, those met most."""
+        runs = np.array(self._runs, np.int64)
+        often = np.flatnonzero(runs > 1)
+        kept = np.sort(often[np.argsort(-runs[often], kind="stable")][:KEPT_UNITS // 2])
+        links, n_links = self.links_of(kept)
+        self.fine = bytearray(np.frombuffer(bytes(self.fine), np.uint8)[kept].tobytes())
+        for name in ("n_a", "n_b", "n_groups"):
+            setattr(self, name, array("q", np.array(getattr(self, name), np.int64)[kept].tobytes()))
+        self.links, self.ends = array("q", links.tobytes()), array("q", np.cumsum(n_links).tobytes())
+        self._runs = array("q", np.ones(len(kept), np.int64).tobytes())
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        number = np.full(len(runs), -1)
+        number[kept] = np.arange(len(kept))
+        number = number.tolist()
+        self._known = {unit: number[i] for unit, i in self._known.items() if number[i] >= 0}
+        self.generation += 1
 
     def __len__(self) -> int:
         return len(self.groups)
 
     def __call__(self, units: list[bytes]) -> np.ndarray:
         """The numbers of ``units``, which are distinct."""
-        new = [u for u in units if u not in self._known]
+        known = self._known
+        new = [u for u in units if u not in known]
         if new:
             self._align(new)
-        return np.array([self._known[u] for u in units], np.int64)
+            self._runs.frombytes(bytes(8 * len(new)))
+        found = np.array([known[u] for u in units], np.int64)
+        runs = np.array(self._runs, np.int64)
+        runs[found] += 1
+        self._runs = array("q", runs.tobytes())
+        return found
 
-    def _piece_ids(self, units: list[bytes]) -> list[list[int]]:
-        """The model puts a space before what it is given: that of the unit is left out, or
-        taken away again if the unit begins with a newline."""
-        texts = [u.decode() for u in units]
+    def _byte_ids(self, texts: list[str], plain: list[bool]) -> list[list[int]]:
+        """Ids of texts; those of plain letters go to the same merges without offsets."""
+        quick = self._quick
+        if quick is None:
+            plain = [False] * len(texts)
+        others = [t for t, p in zip(texts, plain) if not p]
+        coded = iter(self._a.encode_batch(others, add_special_tokens=False) if others else ())
+        return [quick.encode_ordinary(t) if p else next(coded).ids for t, p in zip(texts, plain)]
+
+    def _piece_ids(self, texts: list[str]) -> list[list[int]]:
+        """The model puts a space before what it is given: that of the text is left out, or
+        taken away again if the text begins with a newline."""
         found = self._b.encode([t.removeprefix(" ") for t in texts], num_threads=1)
         for i, t in enumerate(texts):
             if t == " ":
@@ -107,42 +178,93 @@ class Aligner:
                 found[i] = found[i][1:]
         return found
 
+    def _strings(self, units: list[bytes]) -> Iterator[tuple[list[int], bool]]:
+        """Units, by place, that are encoded as one text, and whether it is plain. A unit
+        that ends in white space would run on into the next one."""
+        if not self.cuts:
+            yield from (([i], False) for i in range(len(units)))
+            return
+        held: dict[bool, list[int]] = {True: [], False: []}
+        sizes = dict.fromkeys(held, 0)
+        for i, unit in enumerate(units):
+            plain = unit.isascii() or max(unit) < _PLAIN_BYTES
+            if unit[-1] < 33 or unit[-1] > 127 and unit.decode()[-1].isspace():
+                yield [i], plain
+                continue
+            held[plain].append(i)
+            sizes[plain] += len(unit)
+            if sizes[plain] >= STRING_BYTES:
+                yield held[plain], plain
+                held[plain], sizes[plain] = [], 0
+        yield from ((places, plain) for plain, places in held.items() if places)
+
     def _align(self, units: list[bytes]) -> None:
-        encoded = self._a.encode_batch([u.decode() for u in units], add_special_tokens=False)
-        for unit, coded, b in zip(units, encoded, self._piece_ids(units)):
-            a = coded.ids
-            fine = (
-                b"".join([self._a_bytes[i] for i in a]) == unit == b"".join([self._b_bytes[i] for i in b])
-            )
-            groups = self._linked(a, b) if fine else ""
-            self._known[unit] = len(self.groups)
-            self.fine.append(fine)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.n_groups.append(groups.count(";") + 1)
-            self.groups.append(groups)
-            self.ends.append(len(self.links))
-
-    def _linked(self, a: list[int], b: list[int]) -> str:
-        """Appends the links of a unit, and gives its groups as text."""
-        groups, i, j, a_first, b_first = [], 0, 0, 0, 0
-        a_end, b_end = len(self._a_bytes[a[0]]), len(self._b_bytes[b[0]])
-        while True:
-            self.links.append(a[i] << 32 | b[j])
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[a_first:i]))}|{','.join(map(str, b[b_first:j]))}")
-                if i == len(a):
-                    return ";".join(groups)
-                a_first, b_first = i, j
-                a_end += len(self._a_bytes[a[i]])
-                b_end += len(self._b_bytes[b[j]])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(self._a_bytes[a[i]])
-            else:
-                j += 1
-                b_end += len(self._b_bytes[b[j]])
+        todo = list(self._strings(units))
+        order: list[int] = []  # places of the units that both sides give back
+        a_ids: list[int] = []
+        b_ids: list[int] = []
+        while todo:
+            raw = [b"".join([units[i] for i in places]) for places, _ in todo]
+            texts = [r.decode() for r in raw]
+            again = []
+            coded = zip(todo, raw, self._byte_ids(texts, [p for _, p in todo]), self._piece_ids(texts))
+            for (places, plain), whole, a, b in coded:
+                if (
+                    b"".join([self._a_bytes[i] for i in a]) == whole == b"".join([self._b_bytes[i] for i in b])
+                ):
+                    order += places
+                    a_ids += a
+                    b_ids += b
+                elif len(places) > 1:
+                    again += [([i], plain) for i in places]
+            todo = again
+        sizes = np.array([len(units[i]) for i in order], np.int64)
+        n_a, n_b, n_groups, n_links, groups, links = self._linked(np.array(a_ids, np.int64), np.array(b_ids, np.int64), sizes)
+
+        known = len(self)
+        # Units are numbered in the order they were encoded in, the others after them.
+        fine = np.zeros(len(units), bool)
+        fine[order] = True
+        rest = np.flatnonzero(~fine).tolist()
+        self.fine += bytes([1]) * len(order) + bytes(len(rest))
+        for number, i in enumerate(chain(order, rest), start=known):
+            self._known[units[i]] = number
+        none = np.zeros(len(rest), np.int64)
+        for store, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups)):
+            store.frombytes(np.concatenate([values, none]).tobytes())
+        self.ends.frombytes((len(self.links) + np.cumsum(np.concatenate([n_links, none]))).tobytes())
+        self.links.frombytes(links.tobytes())
+        self.groups += groups + [b""] * len(rest)
+
+    def _linked(self, a_ids: np.ndarray, b_ids: np.ndarray, sizes: np.ndarray):
+        """Counts, group texts and links of units of the given sizes, laid end to end.
+
+        The ends of all tokens cut the bytes into pieces, and each piece is the overlap of
+        just one token of either side: a link.
+        """
+        a_ends, b_ends = np.cumsum(self._a_lengths[a_ids]), np.cumsum(self._b_lengths[b_ids])
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        new = np.concatenate((ends[:-1] != ends[1:], [True])) if len(ends) else np.zeros(0, bool)
+        pieces, both = ends[new], ends[1:][ends[:-1] == ends[1:]]
+        a_at, b_at = np.searchsorted(a_ends, pieces), np.searchsorted(b_ends, pieces)
+        unit_ends = np.cumsum(sizes)
+        if (both[np.minimum(np.searchsorted(both, unit_ends), len(both) - 1)] != unit_ends).any():
+            raise ValueError("a token goes beyond its unit")
+        n_a, n_b, n_links, n_groups = (
+            np.diff(np.searchsorted(e, unit_ends, "right"), prepend=0) for e in (a_ends, b_ends, pieces, both)
+        )
+        # A group's text has its tokens of the one side, then those of the other; the last
+        # of each side has a sign of its own after it.
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        codes = np.concatenate([
+            2 * a_ids + (both[a_group] == a_ends), 2 * (len(self._a_lengths) + b_ids) + (both[b_group] == b_ends)
+        ])
+        group = np.concatenate([2 * a_group, 2 * b_group + 1])
+        codes = codes[np.argsort(group, kind="stable")].tolist()
+        bounds = np.cumsum(n_a + n_b).tolist()
+        signs = self._signs
+        groups = [b"".join([signs[c] for c in codes[first:end]]) for first, end in zip([0, *bounds], bounds)]
+        return n_a, n_b, n_groups, n_links, groups, a_ids[a_at] << 32 | b_ids[b_at]
 
     def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of units laid end to end, and how many each has."""
@@ -173,7 +295,8 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, cuts: bool) -> np.ndarray
         | ((three == 0xE2) & (two == 0x81) & (one == 0x9F))
         | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
     )
-    return np.union1d(at[apart], offsets[:-1])
+    starts = np.sort(np.concatenate([offsets[:-1], at[apart]]), kind="stable")
+    return starts[np.concatenate(([True], starts[1:] != starts[:-1]))] if len(starts) else starts
 
 
 class Run:
@@ -190,7 +313,7 @@ class Run:
             [None, pa.py_buffer(np.append(starts, offsets[-1]).astype(np.int64)), pa.py_buffer(data)],
         ).dictionary_encode()
         if len(aligner) > KEPT_UNITS:
-            aligner.clear()
+            aligner.trim()
         numbers = aligner(units.dictionary.to_pylist())
         self.unit = numbers[units.indices.to_numpy(zero_copy_only=False)]
         self.first = np.searchsorted(starts, offsets)
@@ -359,11 +482,11 @@ def _lookup_batches(paths: tuple[str, str], count: int, rows: Broadcast, highest
         aligner = _aligner(*paths)
         held = Shards(rows.value, count)
         counts = {r["shard"]: np.frombuffer(r["counts"], np.int64) for r in rows.value}
-        best, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best, total, generation = np.zeros(0, np.int64), np.zeros(0, np.int64), aligner.generation
         for batch in batches:
             for first, run in _runs(batch.column("text"), aligner):
-                if len(aligner) < len(best):  # the aligner has started anew
-                    best, total = best[:0], total[:0]
+                if generation != aligner.generation:
+                    best, total, generation = best[:0], total[:0], aligner.generation
                 done, size = len(best), len(aligner)
                 live = np.unique(run.live_units())
                 best = np.append(best, np.full(size - done, -1))
@@ -383,7 +506,7 @@ def _lookup_batches(paths: tuple[str, str], count: int, rows: Broadcast, highest
                 n_groups = run.sums(np.array(aligner.n_groups))
                 numbers = run.unit.tolist()
                 shas = [
-                    hashlib.sha256(";".join([aligner.groups[u] for u in numbers[a:b]]).encode()).hexdigest()
+                    hashlib.sha256(b"".join([aligner.groups[u] for u in numbers[a:b]])[:-1]).hexdigest()
                     if live_text else ""
                     for live_text, a, b in zip(run.live.tolist(), run.first[:-1].tolist(), run.first[1:].tolist())
                 ]

@@ -29,29 +29,22 @@ def ensure_namespace(spark: SparkSession, name: str, location: str | None = None
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{where}")
 
 
-def load_table(
-    df: DataFrame,
-    table: str,
-    mode: str = "append",
-    partition_by: Sequence[str] = (),
-) -> LoadAudit:
-    """Write ``df`` to ``table`` and report the counts.
-
-    ``append`` creates a missing table; on an existing one the delta is staged
-    first, so its plan runs once although it is counted, skipped when empty and
-    may read the table it goes to. ``overwrite`` replaces the table.
+def load_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> LoadAudit:
+    """Append ``df`` to ``table`` and report the counts; a missing table is created.
+
+    On an existing table the delta is staged first, so its plan runs once although it is
+    counted, skipped when empty and may read the table it goes to. Tables are replaced by
+    ``publish.Publications``.
     """
     spark = df.sparkSession
-    exists = spark.catalog.tableExists(table)
-    if exists and mode == "append":
+    if spark.catalog.tableExists(table):
         delta = stage(df, "delta")
         before, added = spark.table(table).count(), delta.count()
         if added:
-            _write(delta, table, mode, partition_by)
+            _write(delta, table, "append", partition_by)
         return LoadAudit(table, added, before + added)
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("added"))
-    _write(counted, table, mode if exists else "errorifexists", partition_by)
+    _write(df.observe(seen, F.count(F.lit(1)).alias("added")), table, "errorifexists", partition_by)
     added = seen.get["added"]
     return LoadAudit(table, added, added)
 
@@ -70,11 +63,6 @@ def by_partition(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
-def audit_frame(spark: SparkSession, audits: Sequence[LoadAudit]) -> DataFrame:
-    """Audit rows as a table; one row per load."""
-    return spark.createDataFrame(list(audits), "table string, added bigint, total bigint")
-
-
 def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Columns of every table with type and number of non-NULL values.
 
@@ -97,8 +85,3 @@ def _describe(name: str, df: DataFrame) -> DataFrame:
         for i, f in fields
     ])
     return counts.select(F.inline(rows))
-
-
-def namespace_tables(spark: SparkSession, namespace: str) -> dict[str, DataFrame]:
-    """Every table of a namespace by name."""
-    return {t.name: spark.table(f"{namespace}.{t.name}") for t in spark.catalog.listTables(namespace)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.operators.keyed import first_per_key, new_rows, total_order
+from demandlake.sources.keystore import KeyStore
 
 SOURCE = "ITviec"
 
@@ -32,6 +33,12 @@ def stamp_bronze(raw: DataFrame, source: str = SOURCE) -> DataFrame:
     return raw.withColumns({"ingest_time": F.current_timestamp(), "source": F.lit(source)})
 
 
+def unseen_rows(raw: DataFrame, store: KeyStore, order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key a store of keys lacks, the first in ``order`` of each key."""
+    fresh = store.unseen(raw)
+    return first_per_key(fresh, [store.key], total_order(fresh, order, [store.key]))
+
+
 def bronze_delta(raw: DataFrame, bronze: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Stamped rows to append to bronze: links it does not hold yet."""
     return stamp_bronze(new_rows(raw, bronze, "job_link", order))

@@ -12,6 +12,11 @@ from demandlake import schemas
 DIALECT = {"header": True, "quote": '"', "escape": '"'}
 # Stands for NULL in our own exports, so that a blank text stays a blank.
 NULL_MARKER = "\\N"
+# How exports are written and read back unchanged.
+EXPORT = {
+    **DIALECT, "nullValue": NULL_MARKER, "multiLine": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_postings_csv(
@@ -42,11 +47,4 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     The rebalance lets adaptive execution size the files: a small export ends in
     one file, a large one in as many as its bytes need.
     """
-    (
-        df.hint("rebalance")
-        .write.options(
-            **DIALECT, nullValue=NULL_MARKER, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        )
-        .mode(mode)
-        .csv(path)
-    )
+    df.hint("rebalance").write.options(**EXPORT).mode(mode).csv(path)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import SQLTransformer, StringIndexer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.functions.numeric import intercept, slope
+from demandlake.operators.boosting import BoostedTrees, fit_boosted
 from demandlake.operators.retail import MISSING_CATEGORY, ensure_columns, impute
-from demandlake.session import scratch_root
 
 # --- Fixed values: the model's inputs and the grid. ---
 FEATURES = (
@@ -19,7 +20,7 @@ FEATURES = (
 )
 LABEL = "quantity"
 GRID_LOW, GRID_HIGH, GRID_POINTS = 0.7, 1.3, 15
-TREES, LEARNING_RATE, DEPTH, VALIDATION_SHARE = 1000, 0.05, 5, 0.15
+TREES, LEARNING_RATE, DEPTH, PATIENCE, VALIDATION_SHARE = 1000, 0.05, 5, 30, 0.15
 # --- End of fixed values. ---
 
 
@@ -55,47 +56,54 @@ def training_frame(features: DataFrame, seed: int = 42) -> DataFrame:
     })
 
 
+@dataclass(frozen=True)
+class DemandModel:
+    """Codes of the text inputs, and the trees over all inputs."""
+
+    codes: PipelineModel
+    trees: BoostedTrees
+
+
 def fit_demand(
     training: DataFrame,
     trees: int = TREES,
     learning_rate: float = LEARNING_RATE,
     depth: int = DEPTH,
-    tolerance: float = 0.0,
+    patience: int = PATIENCE,
     seed: int = 42,
-) -> PipelineModel:
+) -> DemandModel:
     """Boosted trees for the quantity of an order line.
 
-    Training ends at ``trees``, or before at the first tree that lowers the validation
-    error by no more than ``tolerance`` of it.
+    Training ends at ``trees``, or before when the validation error has not come below its
+    least for ``patience`` trees; those after the least are taken back.
     """
-    spark = training.sparkSession
-    # Boosting cuts its lineage every ten trees, in the folder that all executors share.
-    spark.sparkContext.setCheckpointDir(scratch_root(spark))
-    return Pipeline(stages=[
+    codes = Pipeline(stages=[
         payment_codes(),
         # A plain number: as a category it would be limited by the tree's bins.
         SQLTransformer(
             statement="SELECT *, payment_method_ix + 0D AS payment_method_code FROM __THIS__"
         ),
-        VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
-        GBTRegressor(
-            featuresCol="features", labelCol="label", predictionCol="predicted_quantity",
-            maxIter=trees, stepSize=learning_rate, maxDepth=depth,
-            validationIndicatorCol="is_val", validationTol=tolerance, seed=seed,
-        ),
     ]).fit(training)
+    return DemandModel(codes, fit_boosted(
+        codes.transform(training), FEATURES, "label", "is_val", trees, learning_rate, depth, patience, seed=seed
+    ))
 
 
-def predict_demand(frame: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(frame).drop("payment_method_ix", "payment_method_code", "features")
+def predict_demand(frame: DataFrame, model: DemandModel) -> DataFrame:
+    coded = model.codes.transform(frame)
+    return coded.withColumn("predicted_quantity", model.trees.predict()).drop(
+        "payment_method_ix", "payment_method_code"
+    )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: DemandModel, path: str) -> None:
+    """To a folder that does not exist yet: a model is never half of an older one."""
+    model.codes.write().save(f"{path}/codes")
+    model.trees.save(spark, f"{path}/trees")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> DemandModel:
+    return DemandModel(PipelineModel.load(f"{path}/codes"), BoostedTrees.load(spark, f"{path}/trees"))
 
 
 # --- Price grid ------------------------------------------------------------

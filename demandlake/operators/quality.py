@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from demandlake.functions.numeric import MONEY, money_avg
+from demandlake.session import stage
 
 TOLERANCE = 0.01
 PREVIEW = 10
@@ -103,15 +104,10 @@ def _long(checks: DataFrame, table: str) -> DataFrame:
     return checks.select(F.inline(rows))
 
 
-def dq_suite(lines: DataFrame, star: Mapping[str, DataFrame]) -> DataFrame:
-    """Every check as (check_name, table_name, value).
-
-    All counters of a table share one scan; only the value frequencies and the
-    dimension key counts need their own grouping.
-    """
-    count = F.count(F.lit(1))
-    line_checks = lines.agg(
-        count.alias("total_rows"),
+def line_metrics() -> list[Column]:
+    """The counters and averages of order lines, all of them sums that a pass can carry."""
+    return [
+        F.count(F.lit(1)).alias("total_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in LINE_COLUMNS],
         F.count_if(not_positive("quantity", "price", "total_price")).alias("invalid_rows"),
         F.count_if(off_total("total_price", "quantity", "price")).alias("mismatch_count"),
@@ -119,7 +115,39 @@ def dq_suite(lines: DataFrame, star: Mapping[str, DataFrame]) -> DataFrame:
             F.round(money_avg(F.col(c)), 2).alias(f"avg_{c}")
             for c in ("price", "quantity", "total_price")
         ],
-    )
+    ]
+
+
+def load_checked(
+    df: DataFrame, metrics: Sequence[Column], name: str = "checked"
+) -> tuple[DataFrame, dict[str, float | None]]:
+    """Write ``df`` once and take the named metrics from the rows as they are written, at no
+    scan of their own."""
+    seen = Observation()
+    stored = stage(df.observe(seen, *metrics), name)
+    return stored, {k: None if v is None else float(v) for k, v in seen.get.items()}
+
+
+def metric_rows(like: DataFrame, metrics: Mapping[str, float | None], table: str) -> DataFrame:
+    """Metrics taken before as (check, table_name, value) rows."""
+    rows = [(k, table, v) for k, v in metrics.items()]
+    return like.sparkSession.createDataFrame(rows, "check_name string, table_name string, value double")
+
+
+def dq_suite(
+    lines: DataFrame, star: Mapping[str, DataFrame], observed: Mapping[str, float | None] | None = None
+) -> DataFrame:
+    """Every check as (check_name, table_name, value).
+
+    The line metrics are those ``observed`` when the lines were written, and cost a scan only
+    without them. All counters of a table share one scan; only the value frequencies and the
+    dimension key counts need their own grouping.
+    """
+    count = F.count(F.lit(1))
+    if observed is None:
+        line_checks = _long(lines.agg(*line_metrics()), "ecommerce_clean")
+    else:
+        line_checks = metric_rows(lines, observed, "ecommerce_clean")
     category = F.col("category_name")
     drift = (
         lines.select(category)
@@ -144,7 +172,7 @@ def dq_suite(lines: DataFrame, star: Mapping[str, DataFrame]) -> DataFrame:
         F.date_format(F.max("fulldate"), "yyyyMMdd").alias("end_date"),
     )
     parts = [
-        _long(line_checks, "ecommerce_clean"),
+        line_checks,
         _long(drift, "ecommerce_clean"),
         freq,
         _long(fact_checks, "fact_sales"),

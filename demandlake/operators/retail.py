@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlake.functions.numeric import money_avg, money_sum
+from demandlake.operators.ranks import quantiles
 from demandlake.session import stage
 
 # The columns of the feature table.
@@ -17,6 +18,8 @@ FEATURE_COLUMNS = (
     "gender", "age", "prod_total_qty", "prod_avg_price", "prod_unique_buyers",
 )
 MISSING_CATEGORY = "NA"
+# Equal rows that one task draws from at a time.
+COPIES = 100_000
 
 
 def time_features(lines: DataFrame) -> DataFrame:
@@ -88,23 +91,18 @@ def ensure_columns(
     return df.withColumns(missing)
 
 
-def median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median of a column with few distinct values (ages, scores), as one row.
-
-    Values are counted first: the last task gets one row per distinct value. For a
-    continuous column use an approximate percentile instead.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.percentile(column, F.lit(0.5), F.col("n")).alias("median"))
+def median(df: DataFrame, column: str) -> float | None:
+    """Exact median of a column, whatever its number of distinct values; None without any."""
+    return quantiles(df, column)[0]
 
 
 def impute(features: DataFrame) -> DataFrame:
     """Payment NULL → 'NA', review NULL → 0, age NULL → median age (0 when all are NULL)."""
-    middle = F.coalesce(median(features, "age").scalar(), F.lit(0.0))
+    middle = median(features, "age")
     return features.withColumns({
         "payment_method": F.coalesce("payment_method", F.lit(MISSING_CATEGORY)),
         "review_score": F.coalesce("review_score", F.lit(0)),
-        "age": F.coalesce(F.col("age").cast("double"), middle),
+        "age": F.coalesce(F.col("age").cast("double"), F.lit(0.0 if middle is None else middle)),
     })
 
 
@@ -121,6 +119,30 @@ def representative(lines: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, fraction: float = 0.10, seed: int = 42) -> DataFrame:
-    """Bernoulli sample of a stored copy of ``df``: each row is drawn by itself, equal rows
-    too, and a retried task reads the same file and draws the same rows."""
-    return stage(df, "sampled").sample(fraction, seed)
+    """A Bernoulli sample drawn from the rows themselves: the same rows in every run and in
+    any partitioning, and no copy of the input.
+
+    A row is drawn by its hash and by which of its equals it is. Rows that have an equal are
+    told by counting hashes; they alone are grouped, and each of a group is drawn by itself.
+    """
+    identity = F.xxhash64(F.lit(seed), *df.columns)
+    hashed = df.withColumn("__identity", identity)
+    repeated = hashed.groupBy("__identity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = stage(repeated.select("__identity"), "repeated-rows")
+
+    def drawn(occurrence: Column) -> Column:
+        # The upper 53 bits of a hash, as a number from 0 to 1.
+        draw = F.shiftrightunsigned(F.xxhash64("__identity", occurrence), 11) / F.lit(2.0**53)
+        return draw < F.lit(fraction)
+
+    # Drawn first: the join then meets a fraction of the rows.
+    single = hashed.where(drawn(F.lit(0).cast("long"))).join(repeated, "__identity", "left_anti")
+    groups = hashed.join(repeated, "__identity", "left_semi").groupBy("__identity", *df.columns).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    # Numbered in blocks, so that a row of any number of copies is dealt to many tasks.
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES).cast("long")))
+    blocks = groups.withColumn("__first", first).repartition("__identity", "__first")
+    last = F.least(F.col("__first") + COPIES, F.col("__n")) - 1
+    copies = blocks.withColumn("__copy", F.explode(F.sequence("__first", last)))
+    return single.select(*df.columns).unionAll(copies.where(drawn(F.col("__copy"))).select(*df.columns))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandlake.operators.mixture import Mixture, assign, fit_mixture
 from demandlake.session import stage
 
 RFM = ("recency", "frequency", "monetary")
@@ -28,17 +26,14 @@ def rfm_scaled(rfm: DataFrame) -> DataFrame:
     ])
 
 
-def fit_segments(rfm: DataFrame, k: int = 4, tol: float = 1e-3, seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(RFM), outputCol="features_vec"),
-        StandardScaler(
-            inputCol="features_vec", outputCol="scaled_features", withMean=True, withStd=True
-        ),
-        GaussianMixture(
-            featuresCol="scaled_features", predictionCol="cluster", k=k, tol=tol, seed=seed
-        ),
-    ]).fit(rfm)
+def fit_segments(rfm: DataFrame, k: int = 4, tol: float = 1e-3) -> Mixture | None:
+    """The mixture over scaled recency, frequency and spend; segments are numbered by rising
+    mean spend and come out the same however the customers are partitioned."""
+    return fit_mixture(rfm, RFM, k, tol)
 
 
-def segment_customers(rfm: DataFrame, model: PipelineModel) -> DataFrame:
-    return model.transform(rfm).select("customer_id", "cluster")
+def segment_customers(rfm: DataFrame, model: Mixture | None) -> DataFrame:
+    """Customers and their segments; none where there was no customer to fit."""
+    if model is None:
+        return rfm.select("customer_id", F.lit(0).alias("cluster")).limit(0)
+    return assign(rfm, model, "cluster").select("customer_id", "cluster")

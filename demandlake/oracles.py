@@ -322,6 +322,13 @@ def _statements() -> dict[str, tuple[str, str]]:
         "dim_work_mode": (_SILVER, "SELECT DISTINCT work_mode FROM silver"),
         "fact_job_posting": (_FACT, "SELECT *, date_id AS snapshot_date, CAST(1 AS INT) AS post_count FROM fact"),
         "fact_partition_counts": (_FACT, "SELECT date_id, count(*) AS row_count FROM fact GROUP BY date_id"),
+        # A link that an earlier crawl has keeps its row of then.
+        "gold_refresh": (
+            _FACT.replace(_clean("postings"), _clean("bronze")).replace(_POSTINGS, f"""{_POSTINGS}, bronze AS (
+  SELECT * FROM postings
+  QUALIFY row_number() OVER (PARTITION BY job_link ORDER BY CASE WHEN {_EARLIER} THEN 0 ELSE 1 END, seq) = 1)"""),
+            "SELECT date_id, count(*) AS row_count FROM fact GROUP BY date_id",
+        ),
         # Quality
         "dq_totals": (_LINES, "SELECT count(*) AS total_rows FROM lines"),
         "dq_nulls": (_LINES, "SELECT " + ", ".join(

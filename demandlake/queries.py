@@ -6,17 +6,19 @@ The SQL of every key is in ``demandlake.oracles``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake import oracles
+from demandlake import oracles, pipeline
 from demandlake.functions import rules
 from demandlake.operators import forecast, gold, ingest, pricing, quality, retail, segment, series, silver
 from demandlake.plans import reports
 from demandlake.session import scratch_path, stage
 from demandlake.sources import adapters, catalog, csv_files
+from demandlake.sources.keystore import KeyStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,14 +45,23 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.ecommerce_clean(spark, sf_dir)
 
 
-def _star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The fact and its dimensions, from silver written once."""
+def _star(
+    spark: SparkSession, sf_dir: str, *names: str
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The fact and the named dimensions, all without names, from silver written once.
+
+    Dimensions are stored: joins then broadcast those of a known small size, and the wide
+    fact stays where it is.
+    """
     clean = stage(_silver(spark, sf_dir), "silver")
-    return gold.fact_job_posting(clean), gold.dimensions(clean)
+    dims = {
+        name: stage(dim, name) for name, dim in gold.dimensions(clean).items() if not names or name in names
+    }
+    return gold.fact_job_posting(clean), dims
 
 
 def _counts(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
-    fact, dims = _star(spark, sf_dir)
+    fact, dims = _star(spark, sf_dir, "dim_date", "dim_job_category")
     return series.postings_by(fact, dims["dim_date"], dims["dim_job_category"], grain)
 
 
@@ -62,6 +73,17 @@ def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.weekly_interpolate(series.daily_series(_counts(spark, sf_dir, "day")))
 
 
+@contextmanager
+def _links_of(df: DataFrame) -> Iterator[KeyStore]:
+    """A store of the links of ``df``, dropped at the end."""
+    store = KeyStore(df.sparkSession, f"links_{uuid.uuid4().hex}", "job_link")
+    try:
+        store.add(df.select("job_link").where(F.col("job_link").isNotNull()).distinct())
+        yield store
+    finally:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {store.table}")
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), DIGITS) for c in columns})
 
@@ -83,9 +105,10 @@ def raw_merge(spark, sf_dir):
 
 
 def bronze_append(spark, sf_dir):
-    postings = _postings(spark, sf_dir)
-    bronze = ingest.stamp_bronze(adapters.earlier_crawl(postings))
-    return ingest.bronze_delta(postings, bronze, ["seq"]).drop("ingest_time")
+    """New links of the whole crawl, beside a store of the earlier crawl's links."""
+    postings = stage(_postings(spark, sf_dir), "postings")
+    with _links_of(adapters.earlier_crawl(postings)) as store:
+        return stage(ingest.stamp_bronze(ingest.unseen_rows(postings, store, ["seq"])), "bronze-delta").drop("ingest_time")
 
 
 def load_audit(spark, sf_dir):
@@ -120,9 +143,11 @@ def silver_clean(spark, sf_dir):
 
 
 def silver_incremental(spark, sf_dir):
-    postings = _postings(spark, sf_dir)
-    stored = silver.clean_postings(adapters.earlier_crawl(postings), ["seq"])
-    return _silver_columns(silver.silver_delta(postings, stored, ["seq"]))
+    """Silver rows of the whole crawl that silver of the earlier crawl lacks."""
+    postings = stage(_postings(spark, sf_dir), "postings")
+    with _links_of(silver.clean_postings(adapters.earlier_crawl(postings), ["seq"])) as store:
+        fresh = stage(store.unseen(silver.normalise_headers(postings)), "fresh")
+    return _silver_columns(silver.clean_postings(fresh, ["seq"]))
 
 
 def work_mode_norm(spark, sf_dir):
@@ -171,7 +196,28 @@ def fact_job_posting(spark, sf_dir):
 
 
 def fact_partition_counts(spark, sf_dir):
-    return gold.partition_counts(_star(spark, sf_dir)[0])
+    clean = stage(_silver(spark, sf_dir), "silver")
+    return gold.partition_counts(gold.fact_job_posting(clean))
+
+
+@contextmanager
+def _scratch_lake(spark: SparkSession) -> Iterator[pipeline.Lake]:
+    lake = pipeline.Lake(spark, f"q{uuid.uuid4().hex}_")
+    try:
+        yield lake
+    finally:
+        for name in (lake.bronze, lake.silver, lake.gold):
+            spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def gold_refresh(spark, sf_dir):
+    """Rows by date of the published fact, built of the earlier crawl and then refreshed, date
+    by date, with what the whole crawl adds."""
+    postings = stage(_postings(spark, sf_dir), "postings")
+    with _scratch_lake(spark) as lake:
+        pipeline.run_daily(lake, adapters.earlier_crawl(postings), ["seq"])
+        pipeline.run_daily(lake, postings, ["seq"])
+        return stage(gold.partition_counts(lake.marts.table(pipeline.FACT_TABLE)), "partition-counts")
 
 
 # --- Quality ---------------------------------------------------------------
@@ -242,8 +288,8 @@ def dq_schema(spark, sf_dir):
 
 
 def dq_suite(spark, sf_dir):
-    lines = stage(_lines(spark, sf_dir), "lines")
-    return quality.dq_suite(lines, adapters.sales_star(lines))
+    lines, observed = quality.load_checked(_lines(spark, sf_dir), quality.line_metrics(), "lines")
+    return quality.dq_suite(lines, adapters.sales_star(lines), observed)
 
 
 # --- Series ----------------------------------------------------------------
@@ -410,12 +456,12 @@ def customer_clusters(spark, sf_dir):
 
 
 def report_market_overview(spark, sf_dir):
-    fact, dims = _star(spark, sf_dir)
+    fact, dims = _star(spark, sf_dir, "dim_job_category", "dim_company")
     return reports.market_overview(fact, dims["dim_job_category"], dims["dim_company"])
 
 
 def report_geography(spark, sf_dir):
-    fact, dims = _star(spark, sf_dir)
+    fact, dims = _star(spark, sf_dir, "dim_location")
     return reports.geography(fact, dims["dim_location"])
 
 
@@ -426,7 +472,7 @@ def report_history_vs_forecast(spark, sf_dir):
 QUERIES: tuple[Query, ...] = (
     csv_roundtrip, raw_merge, bronze_append, load_audit,
     silver_clean, silver_incremental, work_mode_norm, location_norm, location_explode, skills_array,
-    fact_job_posting, fact_partition_counts,
+    fact_job_posting, fact_partition_counts, gold_refresh,
     dq_totals, dq_nulls, dq_fact_null_fks, dq_nonpositive, dq_text_format, dq_total_mismatch,
     dq_distinct_keys, dq_value_freq, dq_averages, dq_date_span, dq_revenue, dq_preview, dq_schema,
     dq_suite,

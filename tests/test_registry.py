@@ -27,7 +27,7 @@ def duck(sf_dir):
 def test_keys_and_sql_agree():
     assert set(core.queries()) - set(core.oracle_sql()) == ROWS_ONLY
     assert set(core.oracle_sql()) <= set(core.queries())
-    assert len(core.queries()) == 61
+    assert len(core.queries()) == 62
 
 
 @pytest.mark.parametrize("key", sorted(set(core.queries()) - ROWS_ONLY))

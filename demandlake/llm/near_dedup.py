@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlake.llm import text as T
-from demandlake.llm.tables import stage, table
+from demandlake.llm.tables import only_keys, stage, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -29,8 +29,11 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 # Below the threshold by six deviations of the estimate: 0.75 - 6 * sqrt(0.75 * 0.25 / 240).
 LEAST_ESTIMATE = 0.58
-# Classes compared at a time, of those apart from most of their group and of all of it.
-OUTSIDER_BLOCK, MEMBER_BLOCK = 1000, 4000
+# Registers agree about as often as sets overlap: at the threshold, fewer than half of them do
+# with a chance below 1e-15 (nine deviations).
+LEAST_EQUAL = int(0.5 * REGISTERS)
+# Classes of a bucket or group that meet as many others in one task.
+BLOCK = 2000
 
 _rng = np.random.default_rng(7)
 _FACTOR = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -216,18 +219,31 @@ def _are_stars(edges: DataFrame) -> bool:
     return mixed.filter("child + root > 1").isEmpty()
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among candidate ``pairs(a, b)``: by sizes, then sketches, then full sets."""
+def _sketched_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that their sizes and the likelihood of their sketches let pass."""
     a = classes.select(
         F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a")
     )
     b = classes.select(
         F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b")
     )
-    sized = pairs.join(a, "a").join(b, "b").filter(
+    sized = pairs.join(a.drop("sketch_a"), "a").join(b.drop("sketch_b"), "b").filter(
         100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     )
-    likely = stage(sized.mapInArrow(_likely_batches, "a long, b long"), "likely-pairs")
+    held = sized.join(a.drop("n_a"), "a").join(b.drop("n_b"), "b")
+    return held.mapInArrow(_likely_batches, "a long, b long")
+
+
+def shingle_sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
+    """``(set_id, shingles)`` of the named classes, from the text of one document of each."""
+    wanted = classes.join(names, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id"), "set_id")
+    wanted = stage(wanted, "wanted-documents")
+    texts = only_keys(docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id")
+    return texts.select("set_id", "text").mapInArrow(_set_batches, "set_id long, shingles array<long>")
+
+
+def confirm(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs ``(a, b)``, on full sets."""
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -265,7 +281,8 @@ def links_of_outsiders(grouped: DataFrame, sets: DataFrame) -> DataFrame:
 
     The classes of a group's most common root are linked already; all others are outsiders
     and are compared with the whole group, on full sets. Outsiders and members are split
-    into blocks, and each pair of blocks is a task: a group of any size is never gathered.
+    into blocks, and each pair of blocks is a task: a group of any size is never gathered,
+    and its pairs are never rows.
     """
     held = grouped.groupBy("node_group", "root").agg(F.count(F.lit(1)).alias("held"))
     facts = held.groupBy("node_group").agg(
@@ -274,8 +291,8 @@ def links_of_outsiders(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     ).filter("n_outside > 0")
     facts = stage(facts.select(
         "node_group", "main",
-        F.ceil(F.col("n") / MEMBER_BLOCK).alias("m_blocks"),
-        F.ceil(F.col("n_outside") / OUTSIDER_BLOCK).alias("o_blocks"),
+        F.ceil(F.col("n") / BLOCK).alias("m_blocks"),
+        F.ceil(F.col("n_outside") / BLOCK).alias("o_blocks"),
     ), "open-groups")
     rows = stage(grouped.join(facts, "node_group").join(sets, "set_id"), "open-classes")
 
@@ -300,6 +317,125 @@ def links_of_outsiders(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(found, "outsider-links")
 
 
+def _block_ties(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+    """The classes of blocks of rows that are likely to be linked with one of another root,
+    and ties between those roots, given where each block begins and where the last ends.
+
+    A row is ``outer`` if it meets the others of its block, ``inner`` if they meet it. A tie is
+    given where it joins what was apart in its block: no more ties than rows.
+    """
+    ids, roots, n = (rows.column(c).to_numpy() for c in ("set_id", "root", "n_shingles"))
+    outer = rows.column("outer").to_numpy(zero_copy_only=False)
+    inner = rows.column("inner").to_numpy(zero_copy_only=False)
+    sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    involved = np.zeros(len(ids), bool)
+    ties: list[tuple[int, int, int]] = []
+    for start, end in zip(first[:-1].tolist(), first[1:].tolist()):
+        others = np.flatnonzero(inner[start:end]) + start
+        label = roots[start:end].copy()
+        for x in (np.flatnonzero(outer[start:end]) + start).tolist():
+            small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
+            near = others[(roots[others] != roots[x]) & (100 * small >= PERCENT * large)]
+            if len(near):
+                # Equal registers are few where sets differ much; the likelihood judges the rest.
+                equal = np.count_nonzero(sketches[near] == sketches[x], axis=1)
+                near = near[equal >= LEAST_EQUAL]
+            if not len(near):
+                continue
+            mine = np.broadcast_to(sketches[x], (len(near), REGISTERS))
+            near = near[estimate(mine, sketches[near], np.full(len(near), n[x]), n[near]) >= LEAST_ESTIMATE]
+            if len(near):
+                involved[near] = involved[x] = True
+                own = label[x - start]
+                apart, at = np.unique(label[near - start], return_index=True)
+                for other, y in zip(apart.tolist(), near[at].tolist()):
+                    if other != own:
+                        ties.append((int(ids[x]), int(roots[x]), int(roots[y])))
+                        label[label == other] = own
+    at = np.flatnonzero(involved)
+    ties += zip(ids[at].tolist(), roots[at].tolist(), roots[at].tolist())
+    columns = zip(*ties) if ties else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["set_id", "root", "other"])
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ties of the blocks of open buckets, which come one after the other."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = np.stack([rows.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
+        edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        # The last block may go on.
+        end = len(keys) if whole else int(edge[-1]) if len(edge) else 0
+        if end:
+            yield _block_ties(rows.slice(0, end), np.unique([0, *edge[edge < end], end]))
+        held, n = [rows.slice(end)] if end < len(keys) else [], len(keys) - end
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 2 * BLOCK:
+                yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def open_classes(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(set_id, node_group, root)`` of classes that share a bucket with a class of another
+    root and are likely to be linked with it, given ``members(band, set_id)`` and
+    ``roots(node, root)``. Roots that such pairs tie together are a group.
+
+    Only buckets of several roots are opened, and only the classes outside a bucket's most
+    common root meet all of it. Both are split into blocks that meet as tasks, so a bucket of
+    any size is never gathered; only sketches are compared.
+    """
+    rooted = members.join(roots, members["set_id"] == roots["node"], "left").select(
+        "band", "set_id", F.coalesce("root", "set_id").alias("root")
+    )
+    rooted = stage(rooted, "rooted-members")
+    held = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"))
+    facts = held.groupBy("band").agg(
+        F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("n"),
+        (F.sum("held") - F.max("held")).alias("n_outside"),
+    ).filter("n_outside > 0")
+    facts = stage(facts.select(
+        "band", "main",
+        F.ceil(F.col("n") / BLOCK).alias("m_blocks"), F.ceil(F.col("n_outside") / BLOCK).alias("o_blocks"),
+    ), "open-buckets")
+    rows = rooted.join(facts, "band").join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("set_id"), F.col(count))
+
+    def all_of(count: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+    outside = F.col("root") != F.col("main")
+    # A class is a member in one block of them, and an outsider in one block of those: where
+    # the two meet in one task, one row is both.
+    places = F.array_union(
+        F.transform(all_of("o_blocks"), lambda o: F.struct(own("m_blocks").alias("i"), o.alias("j"))),
+        F.when(outside, F.transform(all_of("m_blocks"), lambda m: F.struct(m.alias("i"), own("o_blocks").alias("j"))))
+        .otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>")),
+    )
+    rows = rows.select("*", F.inline(places)).select(
+        "band", "i", "j", "set_id", "root", "n_shingles", "sketch",
+        (outside & (F.col("j") == own("o_blocks"))).alias("outer"), (F.col("i") == own("m_blocks")).alias("inner"),
+    )
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    ties = dealt.mapInArrow(_open_batches, "set_id long, root long, other long")
+    ties = stage(ties.distinct(), "root-ties")
+    groups = components(ties.filter("root != other").select(F.col("root").alias("a"), F.col("other").alias("b")))
+    involved = ties.select("set_id", F.col("root").alias("node")).distinct()
+    return involved.join(groups.withColumnRenamed("root", "node_group"), "node").select(
+        "set_id", "node_group", F.col("node").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: set size, the least document it reaches by links, and whether
     it is that one.
@@ -319,27 +455,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = bands.groupBy("band").agg(
         F.min("set_id").alias("pivot"), F.max("set_id").alias("last")
     ).filter("pivot != last").drop("last")
-    members = stage(bands.join(stage(pivots, "buckets"), "band").select("set_id", "pivot"), "members")
-
-    candidates = classes.join(members.select("set_id").distinct(), "set_id", "left_semi")
-    wanted = stage(candidates.select(F.col("first_doc").alias("doc_id"), "set_id"), "candidates")
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("set_id", "text").mapInArrow(
-        _set_batches, "set_id long, shingles array<long>"
+    members = stage(bands.join(stage(pivots, "buckets"), "band").select("band", "set_id", "pivot"), "members")
+    candidates = stage(
+        classes.join(members.select("set_id").distinct(), "set_id", "left_semi"), "candidate-classes"
     )
-    sets = stage(sets, "shingle-sets")
 
+    def sets_of(names: DataFrame) -> DataFrame:
+        return stage(shingle_sets_of(docs, candidates, names.select("set_id").distinct()), "shingle-sets")
+
+    # All of a bucket meet its pivot; then those still apart meet the rest of their bucket.
     pairs = members.filter("set_id != pivot").select(
         F.col("pivot").alias("a"), F.col("set_id").alias("b")
     ).distinct()
-    pairs = stage(pairs, "pivot-pairs")
-    links = confirm(pairs, stage(candidates, "candidate-classes"), sets)
-    # Classes that share buckets, directly or not, are a group: links lie inside groups.
-    groups = components(pairs).withColumnRenamed("root", "node_group")
-    roots = components(links)
-    grouped = groups.join(roots, "node", "left").select(
-        F.col("node").alias("set_id"), "node_group", F.coalesce("root", "node").alias("root")
-    )
-    links = links.union(links_of_outsiders(stage(grouped, "grouped"), sets))
+    likely = stage(_sketched_pairs(pairs, candidates), "likely-pairs")
+    links = confirm(likely, sets_of(_both(likely).withColumnRenamed("a", "set_id")))
+    apart = stage(open_classes(members, components(links), candidates), "open-classes-by-group")
+    links = links.union(links_of_outsiders(apart, sets_of(apart)))
     roots = components(links)
     reach = classes.select("set_id", "first_doc").join(
         roots, classes["set_id"] == roots["node"], "left"
@@ -360,7 +491,12 @@ def op7_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; rows that repeat its key all stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    kept = stage(kept, "kept-documents")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """``docs`` with one document of each group; rows that repeat its key all stay.
+
+    The dropped keys are joined and not the kept ones: they are the fewer, and never null.
+    """
+    judged = stage(near_duplicates(docs).select("doc_id", "kept"), "judged-documents")
+    gone = judged.filter("NOT kept").select("doc_id").distinct()
+    still = judged.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = stage(gone.join(still, "doc_id", "left_anti"), "dropped-documents")
+    return docs.join(gone, "doc_id", "left_anti")

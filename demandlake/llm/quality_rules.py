@@ -1,11 +1,10 @@
 """Quality rules with the frequency of lines across the documents of a host.
 
 Lines are hashed by their lower-cased words. A line is boilerplate on a host when more than
-``LINE_LIMIT`` of the host's documents hold it beyond its largest family, and that family is
-no majority. A family is the documents that agree in the rest of the text, told by the least
-hash among a document's other lines: exact and near copies of one page are one family, so
-copying a page makes none of its lines boilerplate. Boilerplate lines are removed, and a
-document that they made up almost wholly is rejected as depleted.
+``LINE_LIMIT`` distinct documents of the host hold it, and more than ``LINE_PERCENT`` of all
+its distinct documents: copies of one text count once, and the verdict on a line does not
+change with the size of its host. Boilerplate lines are removed, and a document that they
+made up almost wholly, or that has too few words left, is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -20,15 +19,15 @@ from pyspark.sql import functions as F
 from demandlake.llm import text as T
 from demandlake.llm.tables import stage, table, text_or_empty
 
-LINE_LIMIT = 20
-# A document is depleted when less than this share of its words is left.
+LINE_LIMIT, LINE_PERCENT = 20, 5
+# A document is depleted when less than this share of its words is left, or when lines were
+# taken and fewer words are left than a document must have.
 LEAST_LEFT_PERCENT = 20
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_NO_FAMILY = np.uint64(1)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -72,19 +71,14 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
     size = np.add.reduceat(size, np.flatnonzero(new)) if len(size) else size
     text, hashes = text[new], hashes[new]
-    head = np.searchsorted(text, np.arange(n_texts + 1))
-    least = np.append(hashes, _NO_FAMILY)[np.minimum(head[text], len(hashes))]
-    more = np.diff(head)[text] > 1
-    second = np.append(hashes, _NO_FAMILY)[np.where(more, head[text] + 1, len(hashes))]
-    out["line_first"] = head
+    out["line_first"] = np.searchsorted(text, np.arange(n_texts + 1))
     out["line"], out["line_words"] = hashes, size
-    out["family"] = np.where(hashes == least, second, least)
     return out
 
 
 _MEASURED = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "lines array<struct<line:long,words:int,family:long>>"
+    "lines array<struct<line:long,words:int>>"
 )
 
 
@@ -96,9 +90,8 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 [
                     pa.array(m["line"].view(np.int64)),
                     pa.array(m["line_words"].astype(np.int32)),
-                    pa.array(m["family"].view(np.int64)),
                 ],
-                names=["line", "words", "family"],
+                names=["line", "words"],
             )
             columns = [pa.array(m[c].astype(np.int64)) for c in COUNTS]
             columns.append(pa.ListArray.from_arrays(pa.array(m["line_first"].astype(np.int32)), lines))
@@ -109,12 +102,38 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
-def judge(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def frequent_lines(
+    measured: DataFrame, line_limit: int = LINE_LIMIT, line_percent: float = LINE_PERCENT
+) -> DataFrame:
+    """``(host, line)`` of the lines that too many distinct texts of a host hold.
+
+    One row stands for all that have its text; the others are told by joining the texts that
+    occur more than once, so a text with very many copies counts like any other.
+    """
+    copied = measured.groupBy("host", "text_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row")
+    ).filter("n > 1").select("host", "text_hash", "first_row")
+    copied = stage(copied, "copied-texts")
+    distinct = measured.join(copied, ["host", "text_hash"], "left").filter(
+        "first_row IS NULL OR first_row = row"
+    )
+    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    held = distinct.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("held")
+    )
+    return held.filter(F.col("held") > line_limit).join(totals, "host").filter(
+        100 * F.col("held") > line_percent * F.col("texts")
+    ).select("host", "line")
+
+
+def judge(
+    docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, line_percent: float = LINE_PERCENT
+) -> DataFrame:
     """One row per document: its counts, the hashes of its boilerplate lines, the words left
     without them, ``base_failed``, ``depleted`` and ``kept``.
 
     A null text has no words and fails; a null host is a host of its own; repeated rows are
-    judged each, and count as one family; an empty table gives an empty result. Columns
+    judged each, and count as one document; an empty table gives an empty result. Columns
     other than key, host and text are ignored.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -125,19 +144,9 @@ def judge(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -
     measured = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
 
     lines = measured.select("row", "host", F.explode("lines").alias("at")).select(
-        "row", "host", "at.line", "at.words", "at.family"
-    )
-    families = lines.groupBy("host", "line", "family").agg(F.count(F.lit(1)).alias("held"))
-    frequent = (
-        families.groupBy("host", "line")
-        .agg(F.sum("held").alias("docs"), F.max("held").alias("largest"))
-        .filter(
-            (F.col("docs") - F.col("largest") > line_limit)
-            & (F.col("largest") * 2 <= F.col("docs"))
-        )
-        .select("host", "line")
+        "row", "host", "at.line", "at.words"
     )
-    frequent = stage(frequent, "frequent-lines")
+    frequent = stage(frequent_lines(measured, line_limit, line_percent), "frequent-lines")
     lost = (
         lines.join(frequent, ["host", "line"], "left_semi").groupBy("row")
         .agg(F.sum("words").alias("lost"), F.collect_list("line").alias("cut_lines"))
@@ -149,7 +158,11 @@ def judge(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -
         measured.drop("lines").join(lost, "row", "left").drop("row")
         .withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
         .withColumn("base_failed", base_failed)
-        .withColumn("depleted", 100 * F.col("n_left") < LEAST_LEFT_PERCENT * F.col("n_words"))
+        .withColumn(
+            "depleted",
+            (100 * F.col("n_left") < LEAST_LEFT_PERCENT * F.col("n_words"))
+            | ((F.col("n_left") < LEAST_WORDS) & (F.col("n_left") < F.col("n_words"))),
+        )
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
         .withColumn("cut_lines", F.coalesce("cut_lines", F.array().cast("array<long>")))
     )
@@ -182,10 +195,12 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def clean(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
+def clean(
+    docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, line_percent: float = LINE_PERCENT
+) -> DataFrame:
     """The kept documents without their boilerplate lines; ``n_chars`` follows the text."""
     verdicts = (
-        judge(docs, host, line_limit).filter("kept")
+        judge(docs, host, line_limit, line_percent).filter("kept")
         .groupBy("doc_id", "host", "text_hash").agg(F.first("cut_lines").alias("cut_lines"))
     )
     verdicts = stage(verdicts, "kept-documents")

@@ -6,7 +6,8 @@ blocks wherever it lies, so it is enough to index the block of least hash of eac
 neighbouring blocks, and to probe, of each ``RUN`` windows that many words apart, the one of
 least hash: where two documents share a run, they pick the same block of it. This is exact
 and sends about a quarter of the windows. Hits are then extended: all windows of ``WINDOW``
-words that a hit can belong to are compared as a whole.
+words that a hit can belong to are compared with the others' by a 64-bit hash of all their
+words.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from demandlake.llm import text as T
-from demandlake.llm.tables import stage, table
+from demandlake.llm.tables import only_keys, stage, table
 
 WINDOW = 50
 BLOCK = 6
@@ -60,10 +60,11 @@ def _windows(words: T.Spans, first: int, end: int, n: int, whole: T.RangeHash) -
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column("doc_id").to_pylist()
-        last, whole, rows, owners = None, None, [], []
+        keys = batch.column("doc_id")
+        named = keys.is_valid().to_pylist()
+        last, whole, found = None, None, []
         for row, _, words, first, end in _texts(batch):
-            if keys[row] is None or end - first < WINDOW:
+            if not named[row] or end - first < WINDOW:
                 continue
             if words is not last:
                 last, whole = words, T.RangeHash(words.hashes)
@@ -74,19 +75,23 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             chosen = np.zeros(len(blocks), bool)
             chosen[picked] = True
             at = np.flatnonzero(chosen)
-            rows.append(blocks[at])
-            owners.append(2 * keys[row] + reference[at])
-            if len(rows) >= 500:
-                yield _anchor_batch(rows, owners)
-                rows, owners = [], []
-        if rows:
-            yield _anchor_batch(rows, owners)
+            found.append((row, blocks[at], reference[at]))
+            if len(found) >= 500:
+                yield _anchor_batch(keys, found)
+                found = []
+        if found:
+            yield _anchor_batch(keys, found)
 
 
-def _anchor_batch(rows, owners) -> pa.RecordBatch:
+def _anchor_batch(keys: pa.Array, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    rows, hashes, references = zip(*found)
+    owners = np.repeat(rows, [len(h) for h in hashes])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))],
-        names=["hash", "owner"],
+        [
+            pa.array(np.concatenate(hashes).view(np.int64)), keys.take(pa.array(owners)),
+            pa.array(np.concatenate(references)),
+        ],
+        names=["hash", "doc_id", "reference"],
     )
 
 
@@ -176,20 +181,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     words, the hash of the others joined by spaces, and ``kept_text``, those words, where
     any were removed (null: none were).
 
-    Keys are integers. A null text has no words; a null key is neither removed from nor a
-    reference; rows of one key are not smaller than each other; an empty table gives an
-    empty result; columns other than key and text are ignored.
+    Keys are of any type that has an order, and are compared by it. A null text has no
+    words; a null key is neither removed from nor a reference; rows of one key are not
+    smaller than each other; an empty table gives an empty result; columns other than key and
+    text are ignored.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = narrow.mapInArrow(_anchor_batches, "hash long, owner long").withColumns({
-        "doc_id": F.shiftright("owner", 1), "reference": F.col("owner") % 2 != 0,
-    })
-    same = Window.partitionBy("hash")
-    reference_key = F.when(F.col("reference"), F.col("doc_id"))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select("doc_id", "text")
+    rows = narrow.mapInArrow(_anchor_batches, f"hash long, doc_id {key}, reference boolean")
+    # Aggregated before it is moved, so a block of very many documents is one row a task.
+    shared = rows.groupBy("hash").agg(
+        F.min(F.when(F.col("reference"), F.col("doc_id"))).alias("least"), F.max("doc_id").alias("most")
+    )
+    shared = stage(shared.filter("least < most"), "shared-blocks")
     hits = (
-        rows.withColumns({
-            "least": F.min(reference_key).over(same), "most": F.max("doc_id").over(same),
-        })
+        only_keys(rows, "hash", shared).join(shared, "hash")
         .filter(
             (F.col("doc_id") > F.col("least")) | (F.col("reference") & (F.col("doc_id") < F.col("most")))
         )
@@ -198,7 +204,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hits = stage(hits, "anchor-hits")
     extended = narrow.join(hits, "doc_id", "left").mapInArrow(
         _extend_batches,
-        "doc_id long, n_words long, sha string, text string, windows array<long>",
+        f"doc_id {key}, n_words long, sha string, text string, windows array<long>",
     )
     extended = stage(extended, "extended")
     windows = extended.select("doc_id", F.explode("windows").alias("hash"))
@@ -216,7 +222,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         gone, "doc_id", "left"
     ).mapInArrow(
         _remove_batches,
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
+        f"doc_id {key}, n_words long, n_removed long, kept_sha256 string, kept_text string",
     )
     return plain.union(cut)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.llm.tables import table
+from demandlake.llm.tables import stage, table
 from demandlake.llm.text import mix
 from demandlake.llm.tokens import TOKENIZER_FILE, encode_texts, tokenizer_path
 
@@ -89,7 +89,14 @@ ROW_SCHEMA = (
 )
 
 
-def _cut_batches(path: str, capacity: int, groups: int):
+def id_width(path: str) -> int:
+    """Bytes of an id: two where the tokenizer's ids all fit, else four."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
+def _cut_batches(path: str, capacity: int, groups: int, width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -105,10 +112,10 @@ def _cut_batches(path: str, capacity: int, groups: int):
                 group = mix(mix(place) ^ np.uint64(part)) % np.uint64(groups)
                 seen += len(text)
                 # Pieces follow each other in ids, and ids fill each text: one buffer serves.
-                at = np.append(bounds[text] + start, bounds[-1]) * 2
+                at = np.append(bounds[text] + start, bounds[-1]) * width
                 data = pa.Array.from_buffers(
                     pa.large_binary(), len(text),
-                    [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))],
+                    [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))],
                 ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(group.astype(np.int64)), keys.take(pa.array(text + first)),
@@ -119,19 +126,19 @@ def _cut_batches(path: str, capacity: int, groups: int):
     return cut
 
 
-def _pack_group(capacity: int):
+def _pack_group(capacity: int, width: int):
     def pack(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["doc_id", "start"], kind="stable")
-        lengths = pieces["ids"].map(len).to_numpy() // 2
+        lengths = pieces["ids"].map(len).to_numpy() // width
         pieces = pieces.assign(row=best_fit_decreasing(lengths, capacity), n=lengths)
         out = []
         for row, mine in pieces.sort_values("row", kind="stable").groupby("row"):
             ends = np.cumsum(mine["n"].to_numpy())
             ids = b"".join(mine["ids"])
-            wide = np.frombuffer(ids, "<u2").astype("<u4")
+            wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
             out.append((
                 int(mine["group"].iloc[0]), int(row), int(ends[-1]),
-                ids + np.full(capacity - int(ends[-1]), PAD_ID, "<u2").tobytes(),
+                ids + np.full(capacity - int(ends[-1]), PAD_ID, f"<u{width}").tobytes(),
                 [None if pd.isna(k) else k for k in mine["doc_id"]], mine["start"].tolist(),
                 [0, *ends.tolist()], [0, *ends[:-1].tolist()], zlib.crc32(wide.tobytes()),
             ))
@@ -144,8 +151,9 @@ def packed_matrix(
     docs: DataFrame, tokenizer: str = TOKENIZER_FILE, capacity: int = CAPACITY,
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
-    """One row per matrix row: little-endian 16-bit ids padded to ``capacity``, the document
-    and start of each segment, cumulative segment lengths and where positions restart.
+    """One row per matrix row: little-endian ids padded to ``capacity``, of 16 bits or, where
+    the tokenizer has greater ones, of 32; the document and start of each segment, cumulative
+    segment lengths and where positions restart.
 
     A null text is empty and has the end id alone; a null key stays null; repeated rows are
     packed each; an empty table gives an empty result; other columns are ignored.
@@ -153,28 +161,28 @@ def packed_matrix(
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     groups = max(1, -(-size // group_bytes))
     key = docs.schema["doc_id"].dataType.simpleString()
+    path = tokenizer_path(tokenizer)
+    width = id_width(path)
     pieces = docs.select("doc_id", "text").mapInArrow(
-        _cut_batches(tokenizer_path(tokenizer), capacity, groups), _PIECE.format(key=key)
+        _cut_batches(path, capacity, groups, width), _PIECE.format(key=key)
     )
+    # Written first: groups follow the order of rows, which may differ if a lost task is done
+    # again after others have read from it.
+    pieces = stage(pieces, "pieces")
     return pieces.repartition(groups, "group").groupBy("group").applyInPandas(
-        _pack_group(capacity), ROW_SCHEMA.format(key=key)
+        _pack_group(capacity, width), ROW_SCHEMA.format(key=key)
     )
 
 
-def write_matrix(matrix: DataFrame, path: str) -> None:
-    """One Parquet file set per packing task; a failed task is written again whole."""
-    matrix.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-
-
-def unpack_matrix(matrix: DataFrame) -> DataFrame:
-    """Pieces ``(doc_id, start, ids)`` of a matrix, without padding."""
+def unpack_matrix(matrix: DataFrame, width: int = 2) -> DataFrame:
+    """Pieces ``(doc_id, start, ids)`` of a matrix of ids of ``width`` bytes, without padding."""
     at = F.posexplode("doc_ids").alias("i", "doc_id")
     pieces = matrix.select("ids", "starts", "cu_seqlens", at)
     first = F.element_at("cu_seqlens", F.col("i") + 1)
     n = F.element_at("cu_seqlens", F.col("i") + 2) - first
     return pieces.select(
         "doc_id", F.element_at("starts", F.col("i") + 1).alias("start"),
-        F.substring("ids", first * 2 + 1, n * 2).alias("ids"),
+        F.substring("ids", first * width + 1, n * width).alias("ids"),
     )
 
 

@@ -240,7 +240,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             gone.append(None if open_ else len(raw) - len(kept))
             spans.append(None if open_ else int(len(kept) < len(raw)))
             shas.append(None if open_ else hashlib.sha256(kept).hexdigest())
-            raws.append(raw if open_ else None)
+            raws.append(raw if open_ else kept)
             contexts.append(found)
         yield pa.RecordBatch.from_arrays(
             [
@@ -291,7 +291,7 @@ def _sort_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, spans, shas = [], [], []
+        removed, spans, shas, texts = [], [], [], []
         for raw, ranges in zip(batch.column("raw").to_pylist(), batch.column("ranges").to_pylist()):
             data = np.frombuffer(raw, np.uint8)
             steps = np.zeros(len(data) + 1, np.int32)
@@ -301,19 +301,22 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             gone = np.cumsum(steps[:-1]) > 0
             removed.append(int(gone.sum()))
             spans.append(len(T.runs(gone)[0]))
-            shas.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
+            kept = data[~gone].tobytes()
+            shas.append(hashlib.sha256(kept).hexdigest())
+            texts.append(kept.decode(errors="replace"))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()),
-                pa.array(spans, pa.int64()), pa.array(shas, pa.string()),
+                pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()),
             ],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
         )
 
 
 def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """Per document: its bytes, how many lie in a ``WINDOW``-byte string that also starts
-    elsewhere, in how many runs, and the hash of the others.
+    elsewhere, in how many runs, the hash of the others, and ``kept_text``, those as text,
+    where a character that was cut through is replaced.
 
     A null text is empty; a null key stays null; repeated rows repeat each other; an empty
     table gives an empty result; columns other than key and text are ignored.
@@ -368,10 +371,11 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     )
     cut = open_texts.select("doc_id", "text_id", "n_bytes", "raw").join(placed, "text_id", "left")
     result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return opened.filter("kept_sha256 IS NOT NULL").select(*result).union(
+    settled = opened.filter("kept_sha256 IS NOT NULL")
+    return settled.select(*result, F.col("raw").cast("string").alias("kept_text")).union(
         cut.mapInArrow(
             _remove_batches,
-            f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+            f"doc_id {key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
         )
     )
 

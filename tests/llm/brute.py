@@ -89,6 +89,30 @@ def quality(docs):
     return out
 
 
+def boilerplate(docs, limit=20, percent=5, least_left=20, least_words=50):
+    """``doc_id -> (kept, words left)`` of (doc_id, text, host) rows with distinct keys."""
+
+    def split(text):
+        found = [tuple(w.translate(LOWER) for w in WORD.findall(line)) for line in (text or "").split("\n")]
+        return [line for line in found if line]
+
+    texts = collections.defaultdict(set)
+    for _, t, host in docs:
+        texts[host or ""].add(t)
+    held = collections.Counter((h, line) for h, some in texts.items() for t in some for line in set(split(t)))
+    failed = {r[0]: r[-1] for r in quality([(d, t) for d, t, _ in docs])}
+    out = {}
+    for d, t, host in docs:
+        h = host or ""
+        words = [len(line) for line in split(t)]
+        cut = [n for n, line in zip(words, split(t))
+               if held[h, line] > limit and 100 * held[h, line] > percent * len(texts[h])]
+        n, left = sum(words), sum(words) - sum(cut)
+        depleted = 100 * left < least_left * n or cut and left < least_words
+        out[d] = (not failed[d] and not depleted, left)
+    return out
+
+
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A
 )

@@ -24,8 +24,12 @@ def same(df, names, expected):
 
 
 def test_suffix_dedup(frame, rows):
-    same(suffix_dedup.remove_repeated_bytes(frame), ("n_bytes", "n_removed", "n_spans", "kept_sha256"),
-         brute.suffix_dedup(rows))
+    found = suffix_dedup.remove_repeated_bytes(frame).cache()
+    same(found, ("n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.suffix_dedup(rows))
+    for r in found.collect():
+        if "\ufffd" not in r["kept_text"]:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+            assert len(r["kept_text"].encode()) == r["n_bytes"] - r["n_removed"]
 
 
 def test_substring_dedup(frame, rows):
@@ -33,6 +37,14 @@ def test_substring_dedup(frame, rows):
          brute.substring_dedup(rows))
 
 
+def test_substring_dedup_of_any_keys(spark, rows):
+    """Texts as keys, and numbers near the ends of a long."""
+    for name in (lambda d: f"k{d:03}", lambda d: (d - 20) * (1 << 58)):
+        renamed = [(name(d), t) for d, t in rows[:25]]
+        df = spark.createDataFrame(renamed, ["doc_id", "text"]).repartition(3)
+        same(substring_dedup.remove_repeats(df), ("n_words", "n_removed", "kept_sha256"), brute.substring_dedup(renamed))
+
+
 def test_near_dedup(frame, rows):
     same(near_dedup.near_duplicates(frame), ("n_shingles", "component_id", "kept"), brute.near_dedup(rows))
 
@@ -224,6 +236,19 @@ def test_verbatim_whatever_the_case(spark, item, text, hit):
     assert found == ([(7, 1, 0, True)] if hit else [])
 
 
+def test_matrix_of_wide_ids_repeated_rows_and_null_keys(spark, repeated, monkeypatch):
+    narrow = matrices.packed_matrix(repeated)
+    monkeypatch.setattr(matrices, "id_width", lambda path: 4)
+    wide = matrices.packed_matrix(repeated)
+    pieces = [
+        sorted((repr(r["doc_id"]), r["start"], np.frombuffer(r["ids"], dtype).tolist()) for r in unpacked.collect())
+        for unpacked, dtype in ((matrices.unpack_matrix(narrow), "<u2"), (matrices.unpack_matrix(wide, 4), "<u4"))
+    ]
+    assert pieces[0] == pieces[1] and len(pieces[0]) == 6
+    assert sum(key == "None" for key, _, _ in pieces[0]) == 2
+    assert {r["ids_crc32"] for r in narrow.collect()} == {r["ids_crc32"] for r in wide.collect()}
+
+
 def test_boilerplate_lines(spark):
     import random
 
@@ -232,14 +257,15 @@ def test_boilerplate_lines(spark):
     menu = [text(9) for _ in range(6)]
     page = "\n".join(text(12) for _ in range(8))
     docs = [(i, "\n".join([text(60), menu[0], text(20)]), "a") for i in range(40)]
-    docs += [(100 + i, "\n".join([*menu, text(3)]) if i else page, "a") for i in range(1)]
     docs += [(200 + i, page, "a") for i in range(40)]  # copies of one page are no boilerplate
     body = lambda: [text(10) for _ in range(20)]
     docs += [(300 + i, "\n".join([*body(), *rng.sample(menu, 5)]), "a") for i in range(60)]
     docs += [(400 + i, "\n".join([*rng.sample(menu, 6), text(9)]), "a") for i in range(3)]
-    docs += [(500, "\n".join([text(60), menu[0]]), "b")]
+    docs += [(500, "\n".join([text(60), menu[0]]), "b"), (501, None, None), (502, "\n".join([text(60), menu[0]]), None)]
+    docs += [(600 + i, "\n".join([text(55), menu[1].upper()]), None) for i in range(25)]  # another null host's
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     found = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert {d: (r["kept"], r["n_left"]) for d, r in found.items()} == brute.boilerplate(docs)
     assert all(found[i]["kept"] and len(found[i]["cut_lines"]) == 1 for i in range(40))
     assert all(found[200 + i]["kept"] and not found[200 + i]["cut_lines"] for i in range(40))
     assert all(found[400 + i]["depleted"] and not found[400 + i]["kept"] for i in range(3))
@@ -248,6 +274,31 @@ def test_boilerplate_lines(spark):
     assert menu[0] not in cleaned[0] and cleaned[200] == page and 400 not in cleaned
 
 
+@pytest.mark.parametrize("fixed, own", [(1, 3), (6, 3), (10, 1), (20, 3)])
+def test_lines_of_all_pages_of_a_host(spark, fixed, own):
+    """Pages of fixed lines and a few lines of their own lose the fixed ones; pages that are
+    little else go."""
+    import random
+
+    rng = random.Random(fixed)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    chrome = [text(12) for _ in range(fixed)]
+    docs = [(i, "\n".join([*chrome, *(text(20) for _ in range(own))]), "h") for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    found = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert sum(len(r["cut_lines"]) for r in found.values()) == 500 * fixed
+    assert {d: (r["kept"], r["n_left"]) for d, r in found.items()} == brute.boilerplate(docs)
+    assert all(r["kept"] == (own == 3) for r in found.values())
+
+
+def test_verdict_on_a_line_does_not_follow_the_size_of_its_host(spark):
+    """A line of three in a hundred documents stays, on a host of 200 and of 2,000."""
+    for n in (200, 2000):
+        docs = [(i, f"p{i} " * 5 + "\n" + ("and so on" if i % 33 == 0 else f"q{i}"), "h") for i in range(n)]
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+        assert quality_rules.judge(df).filter("size(cut_lines) > 0").count() == 0
+
+
 OPERATORS = {
     "suffix": suffix_dedup.remove_repeated_bytes, "substring": substring_dedup.remove_repeats,
     "sharding": sharding.assign_shards, "packing": packing.pack, "matrix": matrices.packed_matrix,
@@ -294,7 +345,51 @@ def test_near_copies_around_one_page(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     expected = brute.near_dedup(docs)
     assert 1 < sum(r[-1] for r in expected) < 89
-    for blocks in ((1000, 4000), (5, 20)):
-        monkeypatch.setattr(near_dedup, "OUTSIDER_BLOCK", blocks[0])
-        monkeypatch.setattr(near_dedup, "MEMBER_BLOCK", blocks[1])
+    for block in (near_dedup.BLOCK, 7):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         same(near_dedup.near_duplicates(df), ("n_shingles", "component_id", "kept"), expected)
+
+
+def licence_pages(n, seed=3):
+    """Documents that share a passage of two fifths of their shingles and nothing else."""
+    import random
+
+    rng = random.Random(seed)
+    licence = " ".join(f"l{rng.randrange(10**6)}" for _ in range(120))
+    return [(i, " ".join(f"p{rng.randrange(10**6)}" for _ in range(84)) + " " + licence) for i in range(n)]
+
+
+def test_pages_with_a_licence_are_not_compared_with_all_others(spark, monkeypatch):
+    """Sketches of such pages meet in few buckets, and hardly a pair has its sets fetched."""
+    fetched = []
+    real = near_dedup.shingle_sets_of
+
+    def counted(docs, classes, names):
+        fetched.append(names.count())
+        return real(docs, classes, names)
+
+    monkeypatch.setattr(near_dedup, "shingle_sets_of", counted)
+    for n in (300, 600):
+        fetched.clear()
+        df = spark.createDataFrame(licence_pages(n), "doc_id long, text string").repartition(4)
+        assert near_dedup.near_duplicates(df).filter("kept").count() == n
+        assert len(fetched) == 2 and sum(fetched) <= n // 20
+
+
+def test_recall_of_the_bands():
+    """Pairs at the threshold that share no band: about two in a million."""
+    one = 0.75 ** near_dedup.ROWS
+    assert (1 - one) ** near_dedup.BANDS < 4e-6
+    rng = np.random.default_rng(0)
+    missed = below = 0
+    for _ in range(300):
+        union = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+        shared, rest = union[:300], union[300:]
+        a, b = np.concatenate([shared, rest[:50]]), np.concatenate([shared, rest[50:]])
+        sketches = np.stack([near_dedup.registers(a), near_dedup.registers(b)])
+        keys = near_dedup.band_keys(sketches)
+        missed += not (keys[0] == keys[1]).any()
+        n = np.array([len(a)]), np.array([len(b)])
+        below += near_dedup.estimate(sketches[:1], sketches[1:], *n)[0] < near_dedup.LEAST_ESTIMATE
+        assert (sketches[0] == sketches[1]).sum() >= near_dedup.LEAST_EQUAL
+    assert missed == below == 0

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from demandlake.operators.ranks import quantiles
 
+# Steps from each start before the best one is chosen.
+TRIAL_STEPS = 4
 # A sum's unit: rows add whole numbers of 2**-40.
 _UNIT = 2.0**40
 _WHOLE = "decimal(38,0)"
@@ -143,8 +145,8 @@ def _start(rows: DataFrame, covariance: np.ndarray, axis: int, k: int):
 def fit_mixture(
     df: DataFrame, columns: Sequence[str], k: int = 4, tol: float = 1e-3, most_steps: int = 100
 ) -> Mixture | None:
-    """The best of the mixtures that start from slices along each principal axis; None
-    without rows.
+    """The mixture from the best of the starts, which are slices along each principal axis;
+    None without rows.
 
     ``df`` should be stored, for it is read once per step. Steps end when the log likelihood
     per row rises by less than ``tol``. Columns must not be null.
@@ -157,17 +159,21 @@ def fit_mixture(
     x = [F.col(f"z{j}") for j in range(d)]
     products = rows.agg(*[_sum(x[a] * x[b]) for a, b in _pairs(d)]).first()
     covariance = _square([float(v) / _UNIT / n for v in products], d) + _LEAST_VARIANCE * np.eye(d)
-    best = None
-    for axis in range(d):
-        state, last, steps = _start(rows, covariance, axis, k), -math.inf, 0
+
+    def rise(state, last: float, steps: int, most: int):
+        """Steps until the likelihood hardly rises, or there were ``most``."""
         while True:
             following, likelihood = _maximise(rows, d, _log_densities(x, *state), state[1])
-            if likelihood - last < tol or steps == most_steps:
-                break
+            if likelihood - last < tol or steps >= most:
+                return state, likelihood, steps
             state, last, steps = following, likelihood, steps + 1
-        if best is None or likelihood > best[0]:
-            best = likelihood, steps, state
-    likelihood, steps, (weights, means, covariances) = best
+
+    # A few steps from each start show which one leads highest; it alone goes on.
+    tried = [rise(_start(rows, covariance, axis, k), -math.inf, 0, min(TRIAL_STEPS, most_steps)) for axis in range(d)]
+    state, likelihood, steps = max(tried, key=lambda t: t[1])
+    if TRIAL_STEPS <= steps < most_steps:
+        state, likelihood, steps = rise(state, -math.inf, steps, most_steps)
+    weights, means, covariances = state
     order = np.lexsort(means.T)
     return Mixture(
         tuple(columns), mean, deviation, weights[order], means[order], covariances[order], likelihood, steps

@@ -2,29 +2,39 @@
 
 Each round fits a tree to what is left of the label, adds a share of it to the fitted values,
 and is measured on the validation rows. Boosting ends once the best round lies ``patience``
-rounds back, and the model is rolled back to that round. The fitted values are written every
-few rounds, so a lost executor costs a few trees and plans stay short.
+rounds back, and the model is rolled back to that round.
+
+Features are binned once, so a row is a byte per feature, its label and its fitted value, in
+blocks that stay with the executors. A level of a tree is one pass over them: tasks count the
+rows, and sum what is left of the label, per node, feature and bin; the best splits follow from
+these sums, whose size does not depend on the rows. What is left of the label is rounded to
+whole numbers of a small unit, so the sums are exact in any order. The blocks are written every
+few rounds, so a lost executor costs a few passes and lineage stays short.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.session import stage
-
-# Rounds between two writes of the fitted values, and bins of a number's candidate splits.
-BLOCK, BINS = 10, 64
+from demandlake.operators.blocks import Sums, numpy_blocks, summed
+from demandlake.session import scratch_root, stage
 
-_NODE = re.compile(r"(If|Else) \(feature (\d+) (?:<=|>) (\S+)\)|Predict: (\S+)")
+# Rounds between two writes of the blocks, and bins of a number's candidate splits.
+BLOCK, BINS = 50, 64
+# Training rows that candidate splits are taken from, as Spark ML does with 10,000; every row
+# counts where the splits are chosen.
+SPLIT_ROWS = 100_000
+# A unit of what is left of the label, and of its square, as shares of the greatest label.
+_UNIT_BITS, _SQUARE_BITS = 30, 40
 
 
 @dataclass(frozen=True)
@@ -43,27 +53,6 @@ class Tree:
         feature, threshold, left, right, value = map(np.array, zip(*rows))
         return cls(feature, threshold, left, right, value, depth)
 
-    @classmethod
-    def parse(cls, text: str, depth: int) -> Tree:
-        """From the description that Spark gives of a fitted tree."""
-        nodes: list[list] = []
-        marks = iter(_NODE.findall(text))
-
-        def node() -> int:
-            kind, feature, threshold, value = next(marks)
-            at = len(nodes)
-            if kind:
-                nodes.append([int(feature), float(threshold), at, at, 0.0])
-                nodes[at][2] = node()
-                next(marks)  # the other side's condition
-                nodes[at][3] = node()
-            else:
-                nodes.append([-1, 0.0, at, at, float(value)])
-            return at
-
-        node()
-        return cls.of([tuple(n) for n in nodes], depth)
-
     def __call__(self, values: np.ndarray) -> np.ndarray:
         at = np.zeros(len(values), np.int64)
         row = np.arange(len(values))
@@ -135,6 +124,153 @@ def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1 if curve else 0, False
 
 
+def candidate_splits(values: np.ndarray) -> np.ndarray:
+    """Thresholds between neighbouring values, at most ``BINS - 1`` of them, that cut the
+    values into shares as equal as can be; all of them where there are no more."""
+    distinct, counts = np.unique(values, return_counts=True)
+    middles = (distinct[:-1] + distinct[1:]) / 2
+    if len(middles) < BINS:
+        return middles
+    stride = len(values) / BINS
+    found, target, until = [], stride, np.cumsum(counts)
+    for i in range(1, len(distinct)):
+        if abs(until[i - 1] - target) < abs(until[i] - target):
+            found.append(middles[i - 1])
+            target += stride
+    return np.array(found)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """``bins[feature, row]``, and what the rounds so far leave of the rows' labels."""
+
+    bins: np.ndarray
+    label: np.ndarray
+    fitted: np.ndarray
+    held_out: np.ndarray
+
+
+def _pack(cuts: Sequence[np.ndarray], start: float) -> Callable[[pa.RecordBatch], _Block]:
+    def pack(batch: pa.RecordBatch) -> _Block:
+        *values, label, held_out = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held_out, label = held_out.astype(bool), label.astype(float)
+        values = [v.astype(float) for v in values]
+        if any(np.isnan(v).any() for v in values) or not np.isfinite(label[~held_out]).all():
+            raise ValueError("features and training labels must be numbers, not null")
+        bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, values)]).astype(np.uint8)
+        return _Block(bins, label, np.full(len(label), start), held_out)
+
+    return pack
+
+
+@dataclass
+class _Growing:
+    """A tree while it grows; ``cut`` is the last bin that goes left, and ``slot`` the place of
+    an open node among the sums of its level, or the number of open nodes."""
+
+    feature: list[int]
+    cut: list[int]
+    left: list[int]
+    right: list[int]
+    value: list[float]
+    slot: list[int]
+    levels: int = 0
+
+    def nodes(self, bins: np.ndarray) -> np.ndarray:
+        feature, cut, left, right = map(np.array, (self.feature, self.cut, self.left, self.right))
+        at = np.zeros(bins.shape[1], np.int64)
+        row = np.arange(bins.shape[1])
+        for _ in range(self.levels):
+            at = np.where(bins[np.maximum(feature[at], 0), row] <= cut[at], left[at], right[at])
+        return at
+
+
+def _advanced(tree: _Growing, rate: float) -> Callable[[_Block], _Block]:
+    """Adds a share of the tree to the fitted values."""
+
+    def advance(block: _Block) -> _Block:
+        step = np.array(tree.value)[tree.nodes(block.bins)]
+        return _Block(block.bins, block.label, block.fitted + rate * step, block.held_out)
+
+    return advance
+
+
+def _histograms(tree: _Growing, opened: int, unit: float) -> Callable[[_Block], Sums]:
+    """Rows and what is left of their labels by open node, feature and bin."""
+
+    def count(block: _Block) -> Sums:
+        train = ~block.held_out
+        bins = block.bins[:, train]
+        rest = np.rint((block.label[train] - block.fitted[train]) / unit)
+        slot = np.array(tree.slot)[tree.nodes(bins)] * BINS
+        size = (opened + 1) * BINS
+        places = [slot + b for b in bins]
+        rows = np.stack([np.bincount(p, minlength=size) for p in places])
+        # Whole numbers below 2**53 in a block, so exact as doubles.
+        left = np.stack([np.bincount(p, rest, size) for p in places]).astype(np.int64)
+        shape = (len(bins), opened + 1, BINS)
+        return Sums((rows.reshape(shape)[:, :opened], left.reshape(shape)[:, :opened]))
+
+    return count
+
+
+def _errors(square: float) -> Callable[[_Block], Sums]:
+    """Squared errors of validation rows, as whole numbers, and how many these are."""
+
+    def measure(block: _Block) -> Sums:
+        error = (block.label - block.fitted)[block.held_out]
+        error = error[~np.isnan(error)]
+        whole = np.rint(error * error / square)
+        high = np.floor(whole / 2**32)
+        return Sums((int(high.sum()) * 2**32 + int((whole - high * 2**32).sum()), len(error)))
+
+    return measure
+
+
+def _best_split(rows: np.ndarray, left: np.ndarray, cuts: Sequence[np.ndarray], least_leaf: int):
+    """``(feature, cut)`` of the greatest fall in variance, the first of equal ones; None where
+    nothing falls. ``rows`` and ``left`` hold sums by feature and bin."""
+    below, above = rows.cumsum(1), rows.sum(1, keepdims=True) - rows.cumsum(1)
+    low, high = left.cumsum(1), left.sum(1, keepdims=True) - left.cumsum(1)
+    apart = low / np.maximum(below, 1) - high / np.maximum(above, 1)
+    gain = below.astype(float) * above * apart * apart
+    place = np.arange(BINS) < np.array([len(c) for c in cuts])[:, None]
+    gain[~place | (below < least_leaf) | (above < least_leaf)] = 0
+    if not gain.max() > 0:
+        return None
+    feature, cut = divmod(int(gain.argmax()), BINS)
+    return feature, cut, (int(below[feature, cut]), int(low[feature, cut])), (int(above[feature, cut]), int(high[feature, cut]))
+
+
+def _grow(
+    first: Sums, pass_over: Callable[[Callable], Sums], cuts: Sequence[np.ndarray], depth: int, least_leaf: int, unit: float
+) -> _Growing | None:
+    """The next tree, level by level, from the sums of its root; None where no split is left."""
+    tree = _Growing([-1], [0], [0], [0], [0.0], [0])
+    opened = [0]
+    rows, left = first
+    for level in range(depth):
+        if level:
+            rows, left = pass_over(_histograms(tree, len(opened), unit))
+        children = []
+        for slot, node in enumerate(opened):
+            found = _best_split(rows[:, slot], left[:, slot], cuts, least_leaf)
+            if found is None:
+                continue
+            tree.feature[node], tree.cut[node] = found[:2]
+            for side, (n, total) in zip((tree.left, tree.right), found[2:]):
+                side[node] = child = len(tree.value)
+                children.append(child)
+                for values, value in ((tree.feature, -1), (tree.cut, 0), (tree.left, child), (tree.right, child)):
+                    values.append(value)
+                tree.value.append(total / n * unit)
+        if not children:
+            break
+        tree.levels, opened = level + 1, children
+        tree.slot = [children.index(i) if i in children else len(children) for i in range(len(tree.value))]
+    return tree if tree.levels else None
+
+
 def fit_boosted(
     frame: DataFrame,
     features: Sequence[str],
@@ -150,47 +286,59 @@ def fit_boosted(
     """Boost squared loss on the rows not marked by ``validation``.
 
     Without validation rows no error is known and all rounds stay; boosting also ends where
-    no split is left. Features must not be null.
+    no split is left. Features must not be null. ``seed`` draws the rows that candidate splits
+    are taken from where there are more than ``SPLIT_ROWS``.
     """
-    rows = VectorAssembler(inputCols=list(features), outputCol="x").transform(frame).select(
-        "x", F.col(label).cast("double").alias("y"), F.col(validation).alias("held_out")
+    spark = frame.sparkSession
+    rows = frame.select(
+        *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
+        F.col(label).cast("double").alias("y"), F.col(validation).alias("held_out"),
     )
-    rows = stage(rows, "boosting")
-    facts = rows.agg(
-        F.avg(F.when(~F.col("held_out"), F.col("y"))).alias("start"), F.count_if("held_out").alias("held_out")
-    ).first()
-    start, measured = facts["start"], facts["held_out"] > 0
-    if start is None:
+    rows = stage(rows.where("held_out IS NOT NULL"), "boosting")
+    train = rows.where("NOT held_out")
+    facts = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("most")).first()
+    measured = not rows.where("held_out").isEmpty()
+    if facts["most"] is None:
         return BoostedTrees(tuple(features), 0.0, rate, ())
-    state = rows.withColumn("fitted", F.lit(start))
-    grower = DecisionTreeRegressor(
-        featuresCol="x", labelCol="rest", predictionCol="step", maxDepth=depth, maxBins=BINS,
-        minInstancesPerNode=least_leaf, seed=seed,
-    )
+    if not math.isfinite(facts["most"]):
+        raise ValueError("training labels must be finite")
+    # Powers of two, so that scaling rounds nothing.
+    scale = 2.0 ** math.ceil(math.log2(facts["most"] or 1.0))
+    unit, square = scale / 2**_UNIT_BITS, scale * scale / 2**_SQUARE_BITS
+    whole = F.round(F.col("y") / unit).cast("decimal(38,0)")
+    total = train.agg(F.sum(whole).alias("total"), F.count("y").alias("n")).first()
+    start = float(total["total"] / total["n"]) * unit
+    drawn = train if facts["n"] <= SPLIT_ROWS else train.sample(SPLIT_ROWS / facts["n"], seed)
+    drawn = drawn.select(*rows.columns[:-2]).toArrow()  # about SPLIT_ROWS rows at most
+    cuts = [candidate_splits(c.to_numpy()) for c in drawn.columns]
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_root(spark))
+
+    state: RDD = numpy_blocks(rows, _pack(cuts, start))
+    root = _histograms(_Growing([-1], [0], [0], [0], [0.0], [0]), 1, unit)
+    sums = summed(state, root)
     trees: list[Tree] = []
     curve: list[float] = []
     ended = False
     while not ended and len(trees) < rounds:
-        errors = []
-        for i in range(min(BLOCK, rounds - len(trees))):
-            rest = state.where("NOT held_out").select("x", (F.col("y") - F.col("fitted")).alias("rest"))
-            grown = grower.fit(rest)
-            if grown.numNodes == 1:
-                ended = True
-                break
-            trees.append(Tree.parse(grown.toDebugString, depth))
-            state = grown.transform(state).withColumn("fitted", F.col("fitted") + rate * F.col("step")).drop("step")
-            error = F.col("y") - F.col("fitted")
-            state = state.withColumn(f"error_{i}", F.when(F.col("held_out"), error * error))
-            errors.append(f"error_{i}")
-        if not errors:
+        grown = _grow(sums, lambda count: summed(state, count), cuts, depth, least_leaf, unit)
+        if grown is None:
             break
-        seen = Observation()
-        state = state.observe(seen, *[F.avg(e).alias(e) for e in errors])
-        # One pass writes the fitted values and measures the rounds of the block.
-        state = stage(state.drop(*errors), "boosted")
+        threshold = [cuts[f][c] if f >= 0 else 0.0 for f, c in zip(grown.feature, grown.cut)]
+        value = [0.0 if f >= 0 else v for f, v in zip(grown.feature, grown.value)]
+        trees.append(Tree.of([*zip(grown.feature, threshold, grown.left, grown.right, value)], depth))
+        before, state = state, state.map(_advanced(grown, rate)).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(trees) % BLOCK == 0:
+            state.checkpoint()
+        # One pass advances the rows, measures the round and begins the next tree.
+        measure = _errors(square)
+        rows_, left, error, n = summed(state, lambda b: Sums((*root(b), *measure(b))))
+        sums = Sums((rows_, left))
+        before.unpersist()
         if measured:
-            curve += [seen.get[e] for e in errors]
-            ended = ended or best_round(curve, patience)[1]
+            curve.append(error * square / n if n else math.nan)
+            ended = best_round(curve, patience)[1]
+    state.unpersist()
     kept = best_round(curve, patience)[0] if measured else len(trees)
     return BoostedTrees(tuple(features), start, rate, tuple(trees[:kept]), tuple(curve))

@@ -71,6 +71,37 @@ def test_boosting_without_validation_or_rows(spark, lines):
     assert flat.trees == () and flat(np.zeros((1, 2))).tolist() == [2.0]
 
 
+def test_boosting_is_the_same_in_any_partitioning(spark):
+    """Of more rows than Spark ML takes its candidate splits from."""
+    df = spark.range(12_000).selectExpr(
+        "(id * 7919) % 10007 / 10007D AS a", "(id * 104729) % 9973 / 9973D AS b", "id % 6 = 0 AS val"
+    ).selectExpr("*", "sin(7 * a) + b * b AS y")
+    found = [
+        boosting.fit_boosted(df.repartition(n), ["a", "b"], "y", "val", rounds=3, rate=0.5, depth=3) for n in (1, 5)
+    ]
+    for one, other in zip(*(m.trees for m in found)):
+        assert (one.feature == other.feature).all() and (one.threshold == other.threshold).all()
+        assert (one.value == other.value).all()
+    assert found[0].curve == found[1].curve and len(found[0].curve) == 3
+
+
+def test_a_round_is_a_pass_a_level(spark, lines):
+    context = spark.sparkContext
+    context.setJobGroup("boost", "")
+    before = len(context.statusTracker().getJobIdsForGroup("boost"))
+    boosting.fit_boosted(lines, ["a", "b"], "y", "val", rounds=20, depth=2)
+    jobs = len(context.statusTracker().getJobIdsForGroup("boost")) - before
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 20 * 2 + 15
+
+
+def test_candidate_splits():
+    assert boosting.candidate_splits(np.array([2.0, 1.0, 2.0, 4.0])).tolist() == [1.5, 3.0]
+    assert boosting.candidate_splits(np.ones(5)).tolist() == []
+    even = boosting.candidate_splits(np.arange(6400.0))
+    assert len(even) == boosting.BINS - 1 and set(np.diff(even)) <= {99.0, 100.0, 101.0}
+
+
 # --- Mixture -------------------------------------------------------------------
 
 

@@ -1,23 +1,26 @@
 """A Gaussian mixture whose result does not depend on how the rows are partitioned.
 
-Each step of expectation and maximisation is one aggregate over the rows. What it sums is
-rounded to whole numbers of a small unit first, and sums of whole numbers come out the same
-in any order. The start follows from exact moments and quantiles of the rows and not from a
-draw.
+Each step of expectation and maximisation is one pass over blocks of rows that stay with the
+executors. What it sums is rounded to whole numbers of a small unit first, and sums of whole
+numbers come out the same in any order. The start follows from exact moments and quantiles of
+the rows and not from a draw.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlake.operators.blocks import Sums, numpy_blocks, summed
 from demandlake.operators.ranks import quantiles
 
 # Steps from each start before the best one is chosen.
@@ -70,20 +73,29 @@ def _scaled(columns: Sequence[str], mean: np.ndarray, deviation: np.ndarray) ->
     return [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(columns, mean, deviation)]
 
 
-def _log_densities(x: Sequence[Column], weights, means, covariances) -> list[Column]:
-    """Per component, the logarithm of its weight times its density."""
+def _log_densities(x: Sequence, weights, means, covariances, square: Callable) -> list:
+    """Per component, the logarithm of its weight times its density, of columns or of arrays."""
     found = []
     for weight, mean, covariance in zip(weights, means, covariances):
         half = np.linalg.inv(np.linalg.cholesky(covariance))
         apart = [x[j] - float(mean[j]) for j in range(len(x))]
         quadratic = reduce(add, [
-            F.pow(reduce(add, [apart[j] * float(half[i, j]) for j in range(i + 1)]), F.lit(2.0)) for i in range(len(x))
+            square(reduce(add, [apart[j] * float(half[i, j]) for j in range(i + 1)])) for i in range(len(x))
         ])
         log_scale = math.log(weight) + float(np.log(np.diag(half)).sum()) - len(x) / 2 * math.log(2 * math.pi)
         found.append(log_scale - quadratic / 2)
     return found
 
 
+def _exact_sum(values: np.ndarray) -> int:
+    """The sum of the values as whole numbers of a unit, halves rounded away from 0."""
+    whole = values * _UNIT
+    whole = np.where(np.abs(whole) < 2.0**52, np.copysign(np.floor(np.abs(whole) + 0.5), whole), whole)
+    # In two parts, each of which is exact in 64 bits.
+    high = np.floor(whole / 2**20)
+    return (int(high.astype(np.int64).sum()) << 20) + int((whole - high * 2**20).astype(np.int64).sum())
+
+
 def _pairs(d: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(d) for b in range(a + 1)]
 
@@ -95,21 +107,30 @@ def _square(values: Sequence[float], d: int) -> np.ndarray:
     return out
 
 
-def _maximise(rows: DataFrame, d: int, logs: Sequence[Column], centres: np.ndarray):
+def _expected(logs: Callable[[np.ndarray], Sequence[np.ndarray]], centres: np.ndarray) -> Callable[[np.ndarray], Sums]:
+    """Rows, log likelihood, and per component its shares of the rows with their moments."""
+    k, d = centres.shape
+
+    def expect(x: np.ndarray) -> Sums:
+        found = logs(x)
+        top = np.maximum(np.max(found, axis=0), -1e300)
+        shares = [np.exp(log - top) for log in found]
+        total = reduce(add, shares)
+        sums = [x.shape[1], _exact_sum(top + np.log(total))]
+        for i in range(k):
+            r = shares[i] / total
+            apart = [x[j] - float(centres[i, j]) for j in range(d)]
+            sums += map(_exact_sum, [r, *[r * a for a in apart], *[r * apart[a] * apart[b] for a, b in _pairs(d)]])
+        return Sums(sums)
+
+    return expect
+
+
+def _maximise(blocks: RDD, logs: Callable[[np.ndarray], Sequence[np.ndarray]], centres: np.ndarray):
     """The components that fit best where row and component belong together as ``logs`` say,
     and the log likelihood per row of ``logs``; products are taken around ``centres``."""
-    k = len(logs)
-    x = [F.col(f"z{j}") for j in range(d)]
-    named = rows.select(*x, *[log.alias(f"l{i}") for i, log in enumerate(logs)])
-    top = named.withColumn("top", F.greatest(*[F.col(f"l{i}") for i in range(k)], F.lit(-1e300)))
-    shares = top.withColumns({f"r{i}": F.exp(F.col(f"l{i}") - F.col("top")) for i in range(k)})
-    total = reduce(add, [F.col(f"r{i}") for i in range(k)])
-    sums = [F.count(F.lit(1)), _sum(F.col("top") + F.log(total))]
-    for i in range(k):
-        r = F.col(f"r{i}") / total
-        apart = [x[j] - float(centres[i, j]) for j in range(d)]
-        sums += [_sum(r), *[_sum(r * a) for a in apart], *[_sum(r * apart[a] * apart[b]) for a, b in _pairs(d)]]
-    row = [float(v) for v in shares.agg(*sums).first()]
+    k, d = centres.shape
+    row = [float(v) for v in summed(blocks, _expected(logs, centres))]
     n, likelihood = row[0], row[1] / _UNIT / row[0]
     each = 1 + d + len(_pairs(d))
     weights, means, covariances = [], [], []
@@ -128,18 +149,33 @@ def _maximise(rows: DataFrame, d: int, logs: Sequence[Column], centres: np.ndarr
     return (np.array(weights), np.array(means), np.array(covariances)), likelihood
 
 
-def _start(rows: DataFrame, covariance: np.ndarray, axis: int, k: int):
+def _start(rows: DataFrame, blocks: RDD, covariance: np.ndarray, axis: int, k: int):
     """Components from ``k`` slices of equally many rows along a principal axis."""
     d = len(covariance)
     values, vectors = np.linalg.eigh(covariance)
     direction = vectors[:, np.argsort(-values, kind="stable")[axis]]
-    place = reduce(add, [F.col(f"z{j}") * float(direction[j]) for j in range(d)])
-    cuts = quantiles(rows.select(place.alias("place")), "place", [i / k for i in range(1, k)])
+
+    def place(x: Sequence):
+        return reduce(add, [x[j] * float(direction[j]) for j in range(d)])
+
+    along = place([F.col(f"z{j}") for j in range(d)])
+    cuts = quantiles(rows.select(along.alias("place")), "place", [i / k for i in range(1, k)])
     bounds = [-math.inf, *cuts, math.inf]
-    logs = [
-        F.when((place > low) & (place <= high), F.lit(0.0)).otherwise(F.lit(-1e6)) for low, high in zip(bounds, bounds[1:])
-    ]
-    return _maximise(rows, d, logs, np.zeros((k, d)))[0]
+
+    def logs(x: np.ndarray) -> list[np.ndarray]:
+        at = place(x)
+        return [np.where((at > low) & (at <= high), 0.0, -1e6) for low, high in zip(bounds, bounds[1:])]
+
+    return _maximise(blocks, logs, np.zeros((k, d)))[0]
+
+
+def _densities(state) -> Callable[[np.ndarray], list[np.ndarray]]:
+    return lambda x: _log_densities(x, *state, np.square)
+
+
+def _pack(batch: pa.RecordBatch) -> np.ndarray:
+    """``values[column, row]``"""
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
 
 
 def fit_mixture(
@@ -148,7 +184,7 @@ def fit_mixture(
     """The mixture from the best of the starts, which are slices along each principal axis;
     None without rows.
 
-    ``df`` should be stored, for it is read once per step. Steps end when the log likelihood
+    ``df`` should be stored, for it is read some times before its blocks are kept. Steps end when the log likelihood
     per row rises by less than ``tol``. Columns must not be null.
     """
     d = len(columns)
@@ -163,16 +199,18 @@ def fit_mixture(
     def rise(state, last: float, steps: int, most: int):
         """Steps until the likelihood hardly rises, or there were ``most``."""
         while True:
-            following, likelihood = _maximise(rows, d, _log_densities(x, *state), state[1])
+            following, likelihood = _maximise(blocks, _densities(state), state[1])
             if likelihood - last < tol or steps >= most:
                 return state, likelihood, steps
             state, last, steps = following, likelihood, steps + 1
 
+    blocks = numpy_blocks(rows, _pack)
     # A few steps from each start show which one leads highest; it alone goes on.
-    tried = [rise(_start(rows, covariance, axis, k), -math.inf, 0, min(TRIAL_STEPS, most_steps)) for axis in range(d)]
+    tried = [rise(_start(rows, blocks, covariance, axis, k), -math.inf, 0, min(TRIAL_STEPS, most_steps)) for axis in range(d)]
     state, likelihood, steps = max(tried, key=lambda t: t[1])
     if TRIAL_STEPS <= steps < most_steps:
         state, likelihood, steps = rise(state, -math.inf, steps, most_steps)
+    blocks.unpersist()
     weights, means, covariances = state
     order = np.lexsort(means.T)
     return Mixture(
@@ -183,7 +221,8 @@ def fit_mixture(
 def assign(df: DataFrame, model: Mixture, name: str = "cluster") -> DataFrame:
     """``df`` with the likeliest component of each row; the first of equal ones."""
     x = _scaled(model.columns, model.mean, model.deviation)
-    logs = F.array(*_log_densities(x, model.weights, model.means, model.covariances))
+    square = partial(F.pow, col2=F.lit(2.0))
+    logs = F.array(*_log_densities(x, model.weights, model.means, model.covariances, square))
     return df.withColumn("__logs", logs).withColumn(
         name, (F.array_position("__logs", F.array_max("__logs")) - 1).cast("int")
     ).drop("__logs")

@@ -2,6 +2,7 @@
 
 import math
 import statistics
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -130,6 +131,27 @@ def test_segments_do_not_depend_on_partitions(customers):
     assert len(pairs) == 4 and len(set(clusters.values())) == 4
 
 
+def test_mixture_steps_compile_no_plan(spark, customers):
+    """Steps after the first run on kept blocks: a pass a step, whatever the components."""
+    context = spark.sparkContext
+
+    def jobs(steps: int) -> int:
+        context.setJobGroup(f"mixture-{steps}", "")
+        mixture.fit_mixture(customers, segment.RFM, 4, tol=-1.0, most_steps=steps)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(f"mixture-{steps}"))
+
+    few, many = jobs(5), jobs(11)
+    assert many - few == 6
+
+
+def test_exact_sums():
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1e4, 500), [2.0**30, -(2.0**-41), 3 * 2.0**-41, 0.0]])
+    expected = sum(math.floor(abs(Fraction(v)) * 2**40 + Fraction(1, 2)) * (1 if v >= 0 else -1) for v in values.tolist())
+    assert mixture._exact_sum(values) == expected
+
+
 def test_mixture_is_a_maximum(customers):
     """Against the same steps in plain numpy, and the likelihood rises."""
     model = mixture.fit_mixture(customers, segment.RFM, 4)

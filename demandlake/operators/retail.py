@@ -51,7 +51,8 @@ def product_features(lines: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def order_line_features(lines: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = product_features(time_features(lines), stats)
+    # Parts of the date are added after the join, so that it does not move them.
+    joined = time_features(product_features(lines, stats))
     return joined.select(*FEATURE_COLUMNS).withColumn(
         "payment_method", F.upper(F.trim("payment_method"))
     )

@@ -424,7 +424,9 @@ def price_best(spark, sf_dir):
 
 
 def sample_10pct(spark, sf_dir):
-    return retail.sample_rows(_features(spark, sf_dir))
+    # Written once: the sample reads its rows three times, and the join that makes them
+    # shuffles whole lines where the products are many.
+    return retail.sample_rows(stage(_features(spark, sf_dir), "features"))
 
 
 def _demand(features: DataFrame):

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from demandlake import queries
 from demandlake.operators import boosting, mixture, pricing, quality, ranks, retail, segment
 
 # --- Boosting ------------------------------------------------------------------
@@ -269,3 +270,29 @@ def test_demand_model_round_trip(spark, tmp_path):
     scored = pricing.predict_demand(training, model).orderBy("row").collect()
     assert scored == pricing.predict_demand(training, again).orderBy("row").collect()
     assert "payment_method_code" not in scored[0].asDict()
+
+
+# --- What the sample's query moves ---------------------------------------------
+
+
+def test_sampled_features_are_joined_once(spark, sf_dir, monkeypatch):
+    stored = []
+    real = queries.stage
+    monkeypatch.setattr(queries, "stage", lambda df, name: (stored.append(name), real(df, name))[1])
+    queries.sample_10pct(spark, sf_dir)
+    assert stored == ["lines", "stats", "features"]
+
+
+def test_lines_are_moved_without_parts_of_their_date(spark):
+    lines = spark.sql("""SELECT 1 AS customer_id, 2 AS product_id, DATE'2020-03-01' AS order_date, 3 AS quantity,
+        1D AS price, 3D AS total_price, 4 AS review_score, ' a ' AS payment_method, 'c' AS city, 'F' AS gender, 30 AS age""")
+    stats = retail.product_stats(lines)
+    seen = []
+    real = retail.product_features
+    retail.product_features = lambda rows, s: (seen.append(rows.columns), real(rows, s))[1]
+    try:
+        row = retail.order_line_features(lines, stats).first()
+    finally:
+        retail.product_features = real
+    assert "dow" not in seen[0] and "year" not in seen[0]
+    assert (row["year"], row["month"], row["day"], row["dow"], row["payment_method"]) == (2020, 3, 1, 1, "A")

@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     least = stage(least.filter("least < most").select("hash", "least"), "shared-windows")
     gone = (
-        windows.join(least, "hash").filter("doc_id > least")
+        only_keys(windows, "hash", least).join(least, "hash").filter("doc_id > least")
         .groupBy("doc_id").agg(F.collect_set("hash").alias("gone"))
     )
     plain = extended.filter("sha IS NOT NULL").select(

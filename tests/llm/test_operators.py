@@ -37,6 +37,17 @@ def test_substring_dedup(frame, rows):
          brute.substring_dedup(rows))
 
 
+def test_substring_dedup_joins_shared_windows_only(frame, monkeypatch):
+    """Windows that no other document has are dropped before the second join moves them."""
+    filtered = []
+    real = substring_dedup.only_keys
+    monkeypatch.setattr(
+        substring_dedup, "only_keys", lambda df, key, wanted: (filtered.append(df.columns), real(df, key, wanted))[1]
+    )
+    substring_dedup.remove_repeats(frame)
+    assert filtered == [["hash", "doc_id", "reference"], ["doc_id", "hash"]]
+
+
 def test_substring_dedup_of_any_keys(spark, rows):
     """Texts as keys, and numbers near the ends of a long."""
     for name in (lambda d: f"k{d:03}", lambda d: (d - 20) * (1 << 58)):

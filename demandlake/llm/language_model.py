@@ -1,16 +1,24 @@
-"""A hashed maximum-entropy language model with a class-factored softmax.
-
-A token's probability is that of its class given the tokens before it, times that of the
-token in its class. The class softmax has one row of weights per hashed n-gram or skip
-feature; the softmax inside a class has the smoothed log counts as weights, so it sums to
-one over the words of the class and one unseen word. Counts come from all training
-documents. The class weights are trained by gradient updates in every map task at once:
-each round covers its own part of the training documents, and the tasks' weights are
-averaged row by row, weighted by how often a task updated the row.
-
-Memory does not follow the data: the weights are ``FEATURE_ROWS`` rows, and the only counts
-that leave the cluster's tables are those of words with at least ``COMMON_SHARE`` of all
-tokens, of which there can be no more than one over that share.
+"""A hashed maximum-entropy language model, factored by class, place and word.
+
+A token's probability is that of its class given the tokens before it, times that of its
+place in the class, times that of the word in its bucket; all three factors are trained.
+The class softmax has one row of weights per hashed n-gram or skip feature. A place is one
+of the most common words or a bucket of rarer ones, and is reached by yes-no decisions down
+a binary tree; so is a word in its bucket, whose tree ends in the words of the bucket and
+one unseen word. Every decision is a logistic model with one weight per hashed n-gram
+feature and the log ratio of the smoothed counts below it as prior, so the places of a class
+and the words of a bucket each sum to one.
+
+Counts come from all training documents. Class and place weights are trained by gradient
+updates in every map task at once: each round covers its own part of the training documents,
+and the tasks' weights are averaged, weighted by how often or how far a task moved them.
+The tokens of the buckets are shuffled by bucket, and each bucket trains its own weights on
+all its training tokens before it scores. The buckets grow in number with the tokens of the
+corpus, and the weights of each with its tokens.
+
+A task's memory follows the class and place weights, which are of fixed size, and the tokens
+of one bucket: about ``BUCKET_TOKENS``, or those of the rarer words' most common one, which
+is at most one in ``PLACED + 1`` of all tokens.
 """
 
 from __future__ import annotations
@@ -23,20 +31,27 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from demandlake.llm import text as T
 from demandlake.llm.tables import stage, table, text_or_empty
 
 FOLDS = 10
 SMOOTHING = 0.1
-COMMON_SHARE = 2e-6
 CLASSES = 32
 OWN_CLASSES = 16  # the most common words have a class each
+PLACED = 1 << 13  # the most common words have a class or a place of their own
+BUCKET_TOKENS = 1 << 21
+LEAST_BUCKETS = 4  # of each hashed class
 FEATURE_ROWS = 1 << 14
+PLACE_BITS = 20
+TREE_FEATURES = 2  # the trees look one token back and two together
 ROUNDS = 2
 STEP = 4096  # tokens per gradient update
 RATE = 0.5
 BLOCK_ROWS = 256
+PLACE_BLOCKS = 64
 MERGE = 64  # partial weights merged at a time
 
 END_HASH = np.uint64(0x9D5C_30F1_6E2A_4B77)
@@ -79,52 +94,130 @@ def token_counts(train: DataFrame) -> DataFrame:
     return stage(counted.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
 
 
+class Forest:
+    """Binary trees over leaves in order, one for each run of leaves. Every split leaves the
+    two sides as near in mass as that order allows."""
+
+    def __init__(self, mass: np.ndarray, bounds: np.ndarray):
+        below = np.concatenate(([0.0], np.cumsum(mass)))
+        low, high = bounds[:-1], bounds[1:]
+        leaves, nodes, sides, prior = [], [], [], []
+        count = 0
+        while True:
+            split = high - low > 1
+            low, high = low[split], high[split]
+            if not len(low):
+                break
+            middle = np.clip(np.searchsorted(below, (below[low] + below[high]) / 2), low + 1, high - 1)
+            prior.append(np.log((below[high] - below[middle]) / (below[middle] - below[low])))
+            owner, leaf = _ranges(low, high - low)
+            leaves.append(leaf)
+            nodes.append(count + owner)
+            sides.append(leaf >= middle[owner])
+            count += len(low)
+            low, high = np.concatenate((low, middle)), np.concatenate((middle, high))
+        joined = np.concatenate([*leaves, np.zeros(0, np.int64)])
+        order = np.argsort(joined, kind="stable")
+        self.first = np.searchsorted(joined[order], np.arange(len(mass) + 1))
+        self.nodes = np.concatenate([*nodes, np.zeros(0, np.int64)])[order]
+        self.sides = np.concatenate([*sides, np.zeros(0, bool)])[order].astype(np.float32)
+        self.prior = np.concatenate([*prior, np.zeros(0)]).astype(np.float32)
+        self.keys = (T.mix(np.arange(1, count + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+    def decide(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray):
+        """For the decisions on the way to each leaf: whose they are, their rows of weights,
+        the side to take, and the log odds of the second side."""
+        owner, at = _ranges(self.first[leaves], np.diff(self.first)[leaves])
+        nodes = self.nodes[at]
+        shift = np.uint32(33 - len(weights).bit_length())
+        odds, keys = self.prior.take(nodes), self.keys.take(nodes)
+        rows = np.empty((contexts.shape[1], len(owner)), np.int64)
+        for i, row in enumerate(rows):
+            row[:] = (contexts[:, i].take(owner) + keys) >> shift
+            odds += weights.take(row)
+        return owner, rows, self.sides.take(at), odds
+
+    def update(self, weights, squares, slopes, contexts, leaves) -> None:
+        """One gradient update; ``slopes`` holds zeros before and after."""
+        _, rows, sides, odds = self.decide(weights, contexts, leaves)
+        slope = (1 / (1 + np.exp(-odds)) - sides).view(np.float32)
+        flat = rows.ravel()
+        np.add.at(slopes, flat, np.tile(slope, len(rows)))
+        # A row met twice is given the same value twice.
+        total = slopes.take(flat)
+        square = squares.take(flat) + total * total
+        squares[flat] = square
+        weights[flat] = weights.take(flat) - RATE * total / np.sqrt(square + 1)
+        slopes[flat] = 0
+
+    def logs(self, weights, contexts, leaves) -> np.ndarray:
+        """Log probability of each leaf in its tree."""
+        owner, _, sides, odds = self.decide(weights, contexts, leaves)
+        odds *= 1 - 2 * sides
+        losses = np.maximum(odds, 0) + np.log1p(np.exp(-np.abs(odds)))
+        return -np.bincount(owner, losses, len(leaves))
+
+
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whose each element of some ranges is, and the elements, laid end to end."""
+    owner = np.repeat(np.arange(len(first)), lengths)
+    return owner, np.arange(len(owner)) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+
+
 class Vocabulary:
-    """Totals of the training tokens, the counts of the common ones, and all classes."""
+    """Totals of the training tokens, the counts of the placed words, all classes and places."""
 
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.tokens, self.distinct = row["n"] or 0, row["v"]
-        # At most 1 / COMMON_SHARE rows, whatever the table holds.
-        common = counts.filter(F.col("n") >= COMMON_SHARE * max(self.tokens, 1)).toArrow()
-        hashes = common.column("token").to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.counts = common.column("n").to_numpy()[order]
-        top = np.lexsort((self.hashes, -self.counts))[:OWN_CLASSES]
-        self.classes = self._hashed_class(self.hashes)
-        self.classes[top] = np.arange(len(top))
-        # Mass of each class: its counts, and a smoothed place for each word and an unseen one.
-        own = F.pmod(F.shiftrightunsigned("token", 33), F.lit(CLASSES - OWN_CLASSES)) + OWN_CLASSES
-        named = {int(h): i for i, h in enumerate(self.hashes[top].view(np.int64))}
-        for token, i in named.items():
-            own = F.when(F.col("token") == token, i).otherwise(own)
-        mass = np.full(CLASSES, SMOOTHING)
-        for r in counts.groupBy(own.cast("int").alias("class")).agg(
+        hashed = CLASSES - OWN_CLASSES
+        self.buckets = hashed * max(LEAST_BUCKETS, -(-self.tokens // (BUCKET_TOKENS * hashed)))
+        placed = counts.orderBy(F.desc("n"), "token").limit(PLACED).toArrow()
+        hashes = placed.column("token").to_numpy().view(np.uint64)
+        n = placed.column("n").to_numpy()
+        # Tokens and words of each bucket, without the placed ones.
+        held = np.zeros((self.buckets, 2))
+        bucket = F.pmod(F.shiftrightunsigned("token", 33), F.lit(self.buckets))
+        for r in counts.groupBy(bucket.alias("bucket")).agg(
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")
-        ).collect():
-            mass[r["class"]] += r["n"] + SMOOTHING * r["v"]
-        self.log_mass = np.log10(mass)
+        ).collect():  # a row for every BUCKET_TOKENS tokens
+            held[r["bucket"]] = r["n"], r["v"]
+        np.subtract.at(held, self.bucket(hashes), np.stack([n, np.ones(len(n))], axis=1))
+        # A smoothed place for each word, and one for an unseen word of each bucket.
+        masses = np.concatenate((n + SMOOTHING, held[:, 0] + SMOOTHING * held[:, 1] + SMOOTHING))
+        classes = np.concatenate((self.bucket(hashes), np.arange(self.buckets))) % hashed + OWN_CLASSES
+        own = min(len(n), OWN_CLASSES)
+        classes[:own] = np.arange(own)
+        mass = np.bincount(classes, masses, CLASSES)
+        mass[own:OWN_CLASSES] = SMOOTHING
         self.prior = np.log(mass / mass.sum()).astype(np.float32)
-
-    @staticmethod
-    def _hashed_class(tokens: np.ndarray) -> np.ndarray:
-        return ((tokens >> np.uint64(33)) % np.uint64(CLASSES - OWN_CLASSES)).astype(np.int64) + OWN_CLASSES
-
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token, and its count where it is common (else 0)."""
-        kind = self._hashed_class(tokens)
+        order = np.lexsort((-masses, classes))
+        self.forest = Forest(masses[order], np.searchsorted(classes[order], np.arange(CLASSES + 1)))
+        leaf = np.empty(len(order), np.int64)
+        leaf[order] = np.arange(len(order))
+        by_hash = np.argsort(hashes)
+        self.hashes, self.counts = hashes[by_hash], n[by_hash]
+        self.leaf_class = classes[order]
+        self.placed_leaf, self.bucket_leaf = leaf[:len(n)][by_hash], leaf[len(n):]
+
+    def bucket(self, tokens: np.ndarray) -> np.ndarray:
+        return ((tokens >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class and place of each token, and its count where it is placed (else 0)."""
+        leaves = self.bucket_leaf[self.bucket(tokens)]
         counts = np.zeros(len(tokens), np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
             known = self.hashes[at] == tokens
-            kind = np.where(known, self.classes[at], kind)
+            leaves = np.where(known, self.placed_leaf[at], leaves)
             counts = np.where(known, self.counts[at], 0)
-        return kind, counts
+        return self.leaf_class[leaves], leaves, counts
 
 
-def features(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The rows of weights of each token's context, one column per feature."""
+def features(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of class weights of each token's context, one column per feature, and the
+    hashes of the features that the trees use."""
     before = []
     place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
     for back in (1, 2, 3):
@@ -136,13 +229,15 @@ def features(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     mixed = np.stack([
         one + _SEEDS[0], T.mix(one + _SEEDS[1]) + two, two + _SEEDS[2], three + _SEEDS[3],
     ], axis=1)
-    return (T.mix(mixed) >> np.uint64(20)).astype(np.int64) % FEATURE_ROWS
+    mixed = T.mix(mixed)
+    contexts = (mixed[:, :TREE_FEATURES] >> np.uint64(32)).astype(np.uint32)
+    return (mixed >> np.uint64(20)).astype(np.int64) % FEATURE_ROWS, contexts
 
 
 def _probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = prior + weights[rows[:, 0]]
+    scores = prior + weights.take(rows[:, 0], axis=0)
     for column in range(1, rows.shape[1]):
-        scores += weights[rows[:, column]]
+        scores += weights.take(rows[:, column], axis=0)
     scores -= scores.max(axis=1, keepdims=True)
     np.exp(scores, out=scores)
     scores /= scores.sum(axis=1, keepdims=True)
@@ -151,48 +246,59 @@ def _probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) ->
 
 def update(weights, squares, uses, prior, rows, kinds) -> None:
     """One gradient update from a run of tokens, with a rate that falls per weight."""
-    slope = _probabilities(weights, prior, rows)
+    # Unpickled arrays bring a type of their own, on which numpy's ``at`` is ten times slower.
+    slope = _probabilities(weights, prior, rows).view(np.float32)
     slope[np.arange(len(kinds)), kinds] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    touched = ranked[first]
-    total = np.add.reduceat(slope[order // rows.shape[1]], first, axis=0)
-    squares[touched] += total * total
-    weights[touched] -= RATE * total / np.sqrt(squares[touched] + 1)
-    uses[touched] += np.diff(np.append(first, len(ranked)))
+    met = np.bincount(flat, minlength=len(weights))
+    touched = np.flatnonzero(met)
+    rank = np.cumsum(met > 0) - 1
+    width = slope.shape[1]
+    total = np.zeros((len(touched), width), np.float32)
+    at = (rank.take(flat) * width)[:, None] + np.arange(width)
+    np.add.at(total.ravel(), at.ravel(), slope.repeat(rows.shape[1], axis=0).ravel())
+    square = squares.take(touched, axis=0) + total * total
+    squares[touched] = square
+    np.sqrt(square + 1, out=square)
+    weights[touched] = weights.take(touched, axis=0) - RATE * total / square
+    uses[touched] += met[touched]
 
 
 def _train_batches(shared, vocabulary):
-    """One set of weights per task, in blocks of rows, with how often each row was used."""
+    """One set of weights per task, in blocks, with how often each class row was used and
+    how far each place weight was moved."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary.value
-        weights = shared.value.copy()
-        squares = np.zeros_like(weights)
+        weights, places = (w.copy() for w in shared.value)
+        squares, place_squares = np.zeros_like(weights), np.zeros_like(places)
+        slopes = np.zeros(len(places), np.float32)
         uses = np.zeros(FEATURE_ROWS, np.float32)
         for batch in batches:
             for _, _, tokens, bounds in token_runs(batch.column("text")):
-                kinds, _ = words.look_up(tokens)
-                rows = features(tokens, bounds)
+                kinds, leaves, _ = words.look_up(tokens)
+                rows, contexts = features(tokens, bounds)
                 for at in range(0, len(tokens), STEP):
                     part = slice(at, at + STEP)
                     update(weights, squares, uses, words.prior, rows[part], kinds[part])
+                    words.forest.update(places, place_squares, slopes, contexts[part], leaves[part])
         if not uses.any():
             return
-        weighted = weights * uses[:, None]
-        blocks = range(0, FEATURE_ROWS, BLOCK_ROWS)
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([b // BLOCK_ROWS for b in blocks], pa.int32()),
-                pa.array([task] * len(blocks), pa.int64()),
-                pa.array([weighted[b:b + BLOCK_ROWS].astype("<f4").tobytes() for b in blocks], pa.binary()),
-                pa.array([uses[b:b + BLOCK_ROWS].astype("<f4").tobytes() for b in blocks], pa.binary()),
-            ],
-            names=["block", "task", "weights", "uses"],
-        )
+        for first, values, moved in (
+            (0, weights * uses[:, None], uses),
+            (FEATURE_ROWS // BLOCK_ROWS, places * place_squares, place_squares),
+        ):
+            blocks = len(moved) // BLOCK_ROWS if first == 0 else PLACE_BLOCKS
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(first, first + blocks), pa.int32()),
+                    pa.array([task] * blocks, pa.int64()),
+                    pa.array([b.astype("<f4").tobytes() for b in np.split(values, blocks)], pa.binary()),
+                    pa.array([b.astype("<f4").tobytes() for b in np.split(moved, blocks)], pa.binary()),
+                ],
+                names=["block", "task", "weights", "uses"],
+            )
 
     return train
 
@@ -209,14 +315,18 @@ def _merge(pieces):
     return type(pieces)(row)
 
 
-def train_classes(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Class weights after ``rounds`` rounds, each over its own part of ``train``."""
+def train_classes(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Class and place weights after ``rounds`` rounds, each over its own part of ``train``."""
     spark = train.sparkSession
     words = spark.sparkContext.broadcast(vocabulary)
     weights = np.zeros((FEATURE_ROWS, CLASSES), np.float32)
+    places = np.zeros(1 << PLACE_BITS, np.float32)
+    # Four input partitions to a task: fewer sets of weights to write and to average.
+    tasks = train.rdd.getNumPartitions()
+    tasks = max(tasks // 4, min(tasks, 12))
     for i in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
-        part = train.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == i).select("text")
+        shared = spark.sparkContext.broadcast((weights, places))
+        part = train.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == i).select("text").coalesce(max(tasks, 1))
         pieces = stage(part.mapInArrow(_train_batches(shared, words), _PARTIAL), "partial-weights")
         most = pieces.agg(F.max("task").alias("t")).first()["t"]
         # Neighbouring tasks are merged MERGE at a time until one set is left.
@@ -224,59 +334,132 @@ def train_classes(train: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS
             merged = pieces.withColumn("task", F.floor(F.col("task") / MERGE)).groupBy("block", "task")
             pieces = stage(merged.applyInPandas(_merge, _PARTIAL), "partial-weights")
             most //= MERGE
-        for row in pieces.collect():  # FEATURE_ROWS / BLOCK_ROWS rows
-            uses = np.frombuffer(row["uses"], "<f4")[:, None]
-            sums = np.frombuffer(row["weights"], "<f4").reshape(-1, CLASSES)
-            at = slice(row["block"] * BLOCK_ROWS, (row["block"] + 1) * BLOCK_ROWS)
-            weights[at] = np.where(uses > 0, sums / np.maximum(uses, 1), weights[at])
-    return weights
+        first = FEATURE_ROWS // BLOCK_ROWS
+        blocks = {i: b for i, b in enumerate(np.split(weights, first) + np.split(places, PLACE_BLOCKS))}
+        for row in pieces.collect():  # one row of each block
+            block = blocks[row["block"]]
+            uses = np.frombuffer(row["uses"], "<f4").reshape(-1, *[1] * (block.ndim - 1))
+            sums = np.frombuffer(row["weights"], "<f4").reshape(block.shape)
+            block[...] = np.where(uses > 0, sums / np.where(uses > 0, uses, 1), block)
+    return weights, places
 
 
-def _score_batches(shared, vocabulary):
-    """Per document: tokens, those known to be common, the log counts of those, the class
-    part of the score, and the other tokens with how often they occur."""
+def _score_batches(shared, vocabulary, fields):
+    """Per document: its tokens, the placed ones, the log counts of those, and the log10
+    probabilities of classes and places. Per bucket and fold: the batch's tokens in it."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = vocabulary.value, shared.value
+        words, (weights, places) = vocabulary.value, shared.value
+        task = TaskContext.get().partitionId()
+        schema = to_arrow_schema(fields)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            per_text, rare = [], []
             for first, end, tokens, bounds in token_runs(batch.column("text")):
-                kinds, counts = words.look_up(tokens)
-                rows = features(tokens, bounds)
+                kinds, leaves, counts = words.look_up(tokens)
+                rows, contexts = features(tokens, bounds)
                 gain = np.empty(len(tokens))
                 for at in range(0, len(tokens), STEP):
                     part = slice(at, at + STEP)
                     p = _probabilities(weights, words.prior, rows[part])
                     gain[part] = np.log10(p[np.arange(len(p)), kinds[part]])
-                gain -= words.log_mass[kinds]
-                common = counts > 0
-                logs = np.where(common, np.log10(counts + SMOOTHING), 0)
-                text = np.repeat(np.arange(end - first), np.diff(bounds))
-                rare, owner = tokens[~common], text[~common]
-                order = np.lexsort((rare, owner))
-                rare, owner = rare[order], owner[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rare)))
-                lists = np.searchsorted(owner[at], np.arange(end - first + 1)).astype(np.int32)
-                others = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays(
-                    [pa.array(rare[at].view(np.int64)), pa.array(times.astype(np.int32))],
-                    names=["token", "times"],
+                    gain[part] += words.forest.logs(places, contexts[part], leaves[part]) / math.log(10)
+                placed = counts > 0
+                logs = np.where(placed, np.log10(counts + SMOOTHING), 0)
+                per_text.append((
+                    np.diff(bounds), T.per_text(placed, bounds),
+                    np.add.reduceat(logs, bounds[:-1]), np.add.reduceat(gain, bounds[:-1]),
                 ))
-                part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("held_out"),
-                        pa.array(np.diff(bounds)), pa.array(T.per_text(common, bounds)),
-                        pa.array(np.add.reduceat(logs, bounds[:-1])),
-                        pa.array(np.add.reduceat(gain, bounds[:-1])), others,
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_common", "common_logs", "class_logs", "others"],
-                )
+                at = np.flatnonzero(~placed)
+                text = first + np.searchsorted(bounds, at, "right") - 1
+                rare.append((words.bucket(tokens[at]) * 2 + held[text], text, tokens[at], contexts[at]))
+            n = batch.num_rows
+            columns = {
+                "bucket": pa.array(np.full(n, -1 - task)), "base": batch.column("row"),
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+            }
+            for name, values in zip(("n_tokens", "n_known", "logs", "gain"), zip(*per_text)):
+                columns[name] = pa.array(np.concatenate(values))
+            yield _record(schema, n, columns)
+            keys, text, tokens, contexts = (np.concatenate(x) for x in zip(*rare))
+            order = np.argsort(keys, kind="stable")
+            keys, text, tokens, contexts = keys[order], text[order], tokens[order], contexts[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            # Steps from one text to the next, which are small, in place of the texts.
+            steps = np.diff(text, prepend=0)
+            steps[at] = text[at]
+            slices = list(zip(at, np.append(at[1:], len(keys))))
+            yield _record(schema, len(at), {
+                "bucket": pa.array(keys[at] // 2), "held_out": pa.array(keys[at] % 2 == 1),
+                "base": pa.array(np.full(len(at), batch.column("row")[0].as_py())),
+                "words": pa.array([tokens[a:b].astype("<u8").tobytes() for a, b in slices], pa.binary()),
+                "contexts": pa.array([contexts[a:b].astype("<u4").tobytes() for a, b in slices], pa.binary()),
+                "steps": pa.array([steps[a:b].astype("<i4").tobytes() for a, b in slices], pa.binary()),
+            })
 
     return score
 
 
+def _record(schema: pa.Schema, n: int, columns: dict) -> pa.RecordBatch:
+    arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def score_bucket(learn, words, contexts) -> tuple[np.ndarray, np.ndarray]:
+    """The count among ``learn`` of each of a bucket's words, and its log probability in the
+    bucket by a tree trained on those in ``learn``, in order."""
+    names, n = np.unique(words[learn], return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    forest = Forest(np.append(n[order], 0) + SMOOTHING, np.array([0, len(n) + 1]))
+    leaf = np.empty(len(n) + 1, np.int64)
+    leaf[order], leaf[-1] = np.arange(len(n)), len(n)
+    at = np.searchsorted(names, words)
+    seen = np.append(names, 0)[at] == words
+    seen &= at < len(names)
+    at = np.where(seen, at, len(names))
+    leaves, counts = leaf[at], np.append(n, 0)[at]
+    # Eight weights for each token learnt from.
+    weights = np.zeros(1 << max(10, min(30, (8 * int(learn.sum())).bit_length())), np.float32)
+    squares, slopes = np.zeros_like(weights), np.zeros_like(weights)
+    own = np.flatnonzero(learn)
+    for i in range(0, len(own), STEP):
+        part = own[i:i + STEP]
+        forest.update(weights, squares, slopes, contexts[part], leaves[part])
+    gain = [forest.logs(weights, contexts[i:i + STEP], leaves[i:i + STEP]) for i in range(0, len(words), STEP)]
+    return counts, np.concatenate(gain)
+
+
+def _score_group(group: pa.Table) -> pa.Table:
+    """Rows of documents as they are; of a bucket's tokens, their part of each document."""
+    if group.column("bucket")[0].as_py() < 0:
+        return group.drop_columns(["bucket", "words", "contexts", "steps"])
+    group = group.sort_by([("base", "ascending"), ("held_out", "ascending")])
+
+    def joined(name, kind):
+        return np.frombuffer(b"".join(x.as_py() for x in group.column(name)), kind)
+
+    words, steps = joined("words", "<u8"), joined("steps", "<i4")
+    contexts = joined("contexts", "<u4").reshape(-1, TREE_FEATURES)
+    sizes = np.array([len(x.as_py()) // 8 for x in group.column("words")])
+    # Each list of steps begins at its batch's first row.
+    sums = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate(([0], sums))[np.cumsum(sizes) - sizes]
+    rows = sums + np.repeat(group.column("base").to_numpy() - before, sizes)
+    learn = np.repeat(~group.column("held_out").to_numpy(), sizes)
+    counts, gain = score_bucket(learn, words, contexts)
+    found, at = np.unique(rows, return_inverse=True)
+    columns = {
+        "base": pa.array(found),
+        "n_known": pa.array(np.bincount(at, counts > 0).astype(np.int64)),
+        "logs": pa.array(np.bincount(at, np.log10(counts + SMOOTHING))),
+        "gain": pa.array(np.bincount(at, gain) / math.log(10)),
+    }
+    schema = pa.schema([f for f in group.schema if f.name not in ("bucket", "words", "contexts", "steps")])
+    return pa.Table.from_batches([_record(schema, len(found), columns)])
+
+
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Per document: the smoothed unigram score and the model's, as log10 probabilities.
 
@@ -289,34 +472,24 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", text_or_empty().alias("text"), held_out("doc_id").alias("held_out"))
     train = named.filter(~F.col("held_out"))
-    counts = token_counts(train)
-    vocabulary = Vocabulary(counts)
-    weights = train_classes(train, vocabulary, rounds)
-    scored = named.mapInArrow(
-        _score_batches(spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(vocabulary)),
-        f"doc_id {key}, held_out boolean, n_tokens long, n_common long, common_logs double, "
-        "class_logs double, others array<struct<token:long,times:int>>",
-    ).withColumn("row", F.monotonically_increasing_id())
-    scored = stage(scored, "scored")
-    # Common tokens are settled; every other one meets its count once per document.
-    rare = counts.filter(F.col("n") < COMMON_SHARE * max(vocabulary.tokens, 1))
-    others = scored.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.times")
-    log_count = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(SMOOTHING))
-    settled = (
-        others.join(rare, "token", "left").groupBy("row").agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
-            F.sum(F.col("times") * log_count).alias("rare_logs"),
-        )
+    vocabulary = Vocabulary(token_counts(train))
+    shared = spark.sparkContext.broadcast(train_classes(train, vocabulary, rounds))
+    result = f"base long, doc_id {key}, held_out boolean, n_tokens long, n_known long, logs double, gain double"
+    fields = f"bucket long, words binary, contexts binary, steps binary, {result}"
+    parts = named.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _score_batches(shared, spark.sparkContext.broadcast(vocabulary), StructType.fromDDL(fields)), fields
+    )
+    scored = parts.groupBy("bucket").applyInArrow(_score_group, result).groupBy("base").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("held_out").alias("held_out"),
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "gain")),
     )
     total = vocabulary.tokens + SMOOTHING * (vocabulary.distinct + 1)
-    logs = F.col("common_logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return scored.drop("others").join(settled, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+    return stage(scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known",
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(math.log10(total))).alias("base_score"),
-        (logs + F.col("class_logs")).alias("score"),
-    )
+        (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total))).alias("base_score"),
+        F.col("gain").alias("score"),
+    ), "scored")
 
 
 def op6_hashed_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,47 @@ def test_class_softmax_sums_to_one():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_places_and_words_sum_to_one():
+    """Over the leaves of each tree, whatever the weights and the context."""
+    rng = np.random.default_rng(1)
+    forest = language_model.Forest(rng.random(60) + 0.1, np.array([0, 0, 1, 20, 60]))
+    weights = rng.normal(size=1 << 10).astype(np.float32)
+    context = np.repeat(rng.integers(0, 1 << 32, (1, 2), dtype=np.uint32), 60, axis=0)
+    p = np.exp(forest.logs(weights, context, np.arange(60)))
+    assert np.allclose([p[:1].sum(), p[1:20].sum(), p[20:].sum()], 1, atol=1e-5)
+    # A bucket: its seven words, learnt in two contexts, and an unseen one in one of them.
+    words = np.concatenate((rng.integers(0, 7, 5000), np.arange(8))).astype(np.uint64)
+    contexts = np.repeat((words % 2)[:, None], 2, axis=1).astype(np.uint32) << 20
+    contexts[-8:] = contexts[0]
+    learn = np.arange(len(words)) < 5000
+    counts, gain = language_model.score_bucket(learn, words, contexts)
+    assert counts[-8:].tolist() == [*np.bincount(words[:5000].astype(int)), 0]
+    assert np.isclose(np.exp(gain[-8:]).sum(), 1, atol=1e-4)
+    odd = words[-8:-1] % 2 == words[0] % 2
+    assert np.exp(gain[-8:-1])[odd].sum() > 0.75  # 4 of 7 without context
+
+
+def test_rare_words_have_context(spark, monkeypatch):
+    """Words that their predecessor tells, too rare for a place: their score follows it."""
+    monkeypatch.setattr(language_model, "PLACED", 100, raising=False)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"a{i} b{i}" for i in rng.integers(0, 400, 25)) for _ in range(1500)]
+    # Held out: the same words, told by their predecessors or not.
+    held = [i for i in range(100_000) if zlib.crc32(str(i).encode()) % 10 == 0][-200:]
+    order = rng.permutation(400)
+    for i, d in enumerate(held):
+        pairs = rng.integers(0, 400, 25)
+        texts.append(" ".join(f"a{i} b{i}" if d % 2 else f"a{i} b{order[i]}" for i in pairs))
+    learnt = [i for i in range(100_000) if zlib.crc32(str(i).encode()) % 10][:1500]
+    df = spark.createDataFrame(list(zip(learnt + held, texts)), "doc_id long, text string")
+    told = F.col("doc_id") % 2 == 1
+    scored = language_model.score_documents(df).filter("held_out").groupBy(told.alias("told")).agg(
+        (F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain")
+    )
+    gain = {r["told"]: r["gain"] for r in scored.collect()}
+    assert gain[True] > 0.75
+
+
 def draw(key, label):
     return (int(hashlib.md5(f"{key}:{label}".encode()).hexdigest()[:13], 16) + 1) / (16.0**13 + 1)
 

@@ -50,6 +50,7 @@ TREE_FEATURES = 2  # the trees look one token back and two together
 ROUNDS = 2
 STEP = 4096  # tokens per gradient update
 RATE = 0.5
+OFTEN = 16  # meetings of a row in a step that are added for all rows at once
 BLOCK_ROWS = 256
 PLACE_BLOCKS = 64
 MERGE = 64  # partial weights merged at a time
@@ -101,7 +102,7 @@ class Forest:
     def __init__(self, mass: np.ndarray, bounds: np.ndarray):
         below = np.concatenate(([0.0], np.cumsum(mass)))
         low, high = bounds[:-1], bounds[1:]
-        leaves, nodes, sides, prior = [], [], [], []
+        leaves, keys, sides, prior = [], [], [], []
         count = 0
         while True:
             split = high - low > 1
@@ -109,50 +110,66 @@ class Forest:
             if not len(low):
                 break
             middle = np.clip(np.searchsorted(below, (below[low] + below[high]) / 2), low + 1, high - 1)
-            prior.append(np.log((below[high] - below[middle]) / (below[middle] - below[low])))
+            odds = np.log((below[high] - below[middle]) / (below[middle] - below[low]))
+            key = T.mix(np.arange(count + 1, count + len(low) + 1, dtype=np.uint64)) >> np.uint64(32)
             owner, leaf = _ranges(low, high - low)
             leaves.append(leaf)
-            nodes.append(count + owner)
             sides.append(leaf >= middle[owner])
+            prior.append(odds.astype(np.float32)[owner])
+            keys.append(key.astype(np.uint32)[owner])
             count += len(low)
             low, high = np.concatenate((low, middle)), np.concatenate((middle, high))
         joined = np.concatenate([*leaves, np.zeros(0, np.int64)])
         order = np.argsort(joined, kind="stable")
-        self.first = np.searchsorted(joined[order], np.arange(len(mass) + 1))
-        self.nodes = np.concatenate([*nodes, np.zeros(0, np.int64)])[order]
+        # What a leaf's decisions need lies side by side, in the order of its path.
+        self.depth = np.bincount(joined, minlength=len(mass))
+        self.first = np.cumsum(self.depth) - self.depth
         self.sides = np.concatenate([*sides, np.zeros(0, bool)])[order].astype(np.float32)
-        self.prior = np.concatenate([*prior, np.zeros(0)]).astype(np.float32)
-        self.keys = (T.mix(np.arange(1, count + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-    def decide(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray):
-        """For the decisions on the way to each leaf: whose they are, their rows of weights,
-        the side to take, and the log odds of the second side."""
-        owner, at = _ranges(self.first[leaves], np.diff(self.first)[leaves])
-        nodes = self.nodes[at]
-        shift = np.uint32(33 - len(weights).bit_length())
-        odds, keys = self.prior.take(nodes), self.keys.take(nodes)
+        self.prior = np.concatenate([*prior, np.zeros(0, np.float32)])[order]
+        self.keys = np.concatenate([*keys, np.zeros(0, np.uint32)])[order]
+
+    def decide(self, size: int, contexts: np.ndarray, leaves: np.ndarray):
+        """For the decisions on the way to each leaf: whose they are, their rows among
+        ``size`` weights, the side to take, and the prior log odds of the second side."""
+        owner, at = _ranges(self.first.take(leaves), self.depth.take(leaves))
+        shift = np.uint32(33 - size.bit_length())
+        keys = self.keys.take(at)
         rows = np.empty((contexts.shape[1], len(owner)), np.int64)
         for i, row in enumerate(rows):
             row[:] = (contexts[:, i].take(owner) + keys) >> shift
-            odds += weights.take(row)
-        return owner, rows, self.sides.take(at), odds
+        return owner, rows, self.sides.take(at), self.prior.take(at)
 
-    def update(self, weights, squares, slopes, contexts, leaves) -> None:
-        """One gradient update; ``slopes`` holds zeros before and after."""
-        _, rows, sides, odds = self.decide(weights, contexts, leaves)
+    def update(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray) -> None:
+        """One gradient update; ``weights`` are complex, with the sum of the squared slopes
+        of each as imaginary part, so that both come from memory at once."""
+        _, rows, sides, odds = self.decide(len(weights), contexts, leaves)
+        if not len(odds):
+            return
+        # Weights are read and written once each and in order; a sum goes by the order of
+        # the tokens.
+        bits = rows.size.bit_length()
+        ranked = np.sort((rows.ravel() << bits) | np.arange(rows.size))
+        place = ranked & ((1 << bits) - 1)
+        ranked >>= bits
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        met, which = ranked[new], np.cumsum(new) - 1
+        held = weights.take(met)
+        each = np.empty(rows.size, np.float32)
+        each[place] = held.real.take(which)
+        for part in each.reshape(rows.shape):
+            odds += part
         slope = (1 / (1 + np.exp(-odds)) - sides).view(np.float32)
-        flat = rows.ravel()
-        np.add.at(slopes, flat, np.tile(slope, len(rows)))
-        # A row met twice is given the same value twice.
-        total = slopes.take(flat)
-        square = squares.take(flat) + total * total
-        squares[flat] = square
-        weights[flat] = weights.take(flat) - RATE * total / np.sqrt(square + 1)
-        slopes[flat] = 0
-
-    def logs(self, weights, contexts, leaves) -> np.ndarray:
+        total = np.zeros(len(met), np.float32)
+        np.add.at(total, which, np.tile(slope, len(rows)).take(place))
+        held.imag += total * total
+        held.real -= RATE * total / np.sqrt(held.imag + 1)
+        weights[met] = held
+
+    def logs(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Log probability of each leaf in its tree."""
-        owner, _, sides, odds = self.decide(weights, contexts, leaves)
+        owner, rows, sides, odds = self.decide(len(weights), contexts, leaves)
+        for row in rows:
+            odds += weights.take(row)
         odds *= 1 - 2 * sides
         losses = np.maximum(odds, 0) + np.log1p(np.exp(-np.abs(odds)))
         return -np.bincount(owner, losses, len(leaves))
@@ -235,10 +252,12 @@ def features(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    scores = prior + weights.take(rows[:, 0], axis=0)
+    scores = weights.take(rows[:, 0], axis=0)
+    scores += prior
     for column in range(1, rows.shape[1]):
         scores += weights.take(rows[:, column], axis=0)
-    scores -= scores.max(axis=1, keepdims=True)
+    # The greatest of a short row is found faster down the columns of a copy.
+    scores -= scores.T.copy().max(axis=0)[:, None]
     np.exp(scores, out=scores)
     scores /= scores.sum(axis=1, keepdims=True)
     return scores
@@ -246,22 +265,37 @@ def _probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) ->
 
 def update(weights, squares, uses, prior, rows, kinds) -> None:
     """One gradient update from a run of tokens, with a rate that falls per weight."""
-    # Unpickled arrays bring a type of their own, on which numpy's ``at`` is ten times slower.
+    # Unpickled arrays bring a type of their own, on which numpy's loops are slower.
     slope = _probabilities(weights, prior, rows).view(np.float32)
     slope[np.arange(len(kinds)), kinds] -= 1
-    flat = rows.ravel()
-    met = np.bincount(flat, minlength=len(weights))
-    touched = np.flatnonzero(met)
-    rank = np.cumsum(met > 0) - 1
-    width = slope.shape[1]
-    total = np.zeros((len(touched), width), np.float32)
-    at = (rank.take(flat) * width)[:, None] + np.arange(width)
-    np.add.at(total.ravel(), at.ravel(), slope.repeat(rows.shape[1], axis=0).ravel())
-    square = squares.take(touched, axis=0) + total * total
+    # Small numbers are sorted by their digits.
+    flat = rows.ravel().astype(np.min_scalar_type(len(weights) - 1))
+    order = np.argsort(flat, kind="stable")
+    flat, token = flat.take(order), order // rows.shape[1]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    met = np.diff(first, append=len(flat))
+    ranked = np.argsort((met.max() - met).astype(np.min_scalar_type(len(flat))), kind="stable")
+    first, met = first.take(ranked), met.take(ranked)
+    touched = flat.take(first)
+    # The slopes of a row are added in the order of the tokens: those of its first meeting,
+    # its second and so on for all rows at once, the rest of the few that are met often.
+    more = len(met) - np.searchsorted(met[::-1], np.arange(OFTEN + 1), "right")
+    total = slope.take(token.take(first), axis=0)
+    for i in range(1, OFTEN):
+        total[:more[i]] += slope.take(token.take(first[:more[i]] + i), axis=0)
+    for i in range(more[OFTEN]):
+        rest = slope.take(token[first[i] + OFTEN:first[i] + met[i]], axis=0)
+        rest[0] += total[i]
+        total[i] = rest.sum(axis=0)
+    square = squares.take(touched, axis=0)
+    square += total * total
     squares[touched] = square
-    np.sqrt(square + 1, out=square)
-    weights[touched] = weights.take(touched, axis=0) - RATE * total / square
-    uses[touched] += met[touched]
+    square += 1
+    np.sqrt(square, out=square)
+    total *= RATE
+    total /= square
+    weights[touched] = weights.take(touched, axis=0) - total
+    uses[touched] += met
 
 
 def _train_batches(shared, vocabulary):
@@ -270,24 +304,25 @@ def _train_batches(shared, vocabulary):
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary.value
-        weights, places = (w.copy() for w in shared.value)
-        squares, place_squares = np.zeros_like(weights), np.zeros_like(places)
-        slopes = np.zeros(len(places), np.float32)
+        weights, places = shared.value[0].copy(), shared.value[1].astype(np.complex64)
+        squares = np.zeros_like(weights)
         uses = np.zeros(FEATURE_ROWS, np.float32)
         for batch in batches:
             for _, _, tokens, bounds in token_runs(batch.column("text")):
                 kinds, leaves, _ = words.look_up(tokens)
                 rows, contexts = features(tokens, bounds)
-                for at in range(0, len(tokens), STEP):
-                    part = slice(at, at + STEP)
+                steps = [slice(at, at + STEP) for at in range(0, len(tokens), STEP)]
+                # One set of weights after the other, which then stays in the processor's cache.
+                for part in steps:
                     update(weights, squares, uses, words.prior, rows[part], kinds[part])
-                    words.forest.update(places, place_squares, slopes, contexts[part], leaves[part])
+                for part in steps:
+                    words.forest.update(places, contexts[part], leaves[part])
         if not uses.any():
             return
         task = TaskContext.get().partitionId()
         for first, values, moved in (
             (0, weights * uses[:, None], uses),
-            (FEATURE_ROWS // BLOCK_ROWS, places * place_squares, place_squares),
+            (FEATURE_ROWS // BLOCK_ROWS, places.real * places.imag, places.imag),
         ):
             blocks = len(moved) // BLOCK_ROWS if first == 0 else PLACE_BLOCKS
             yield pa.RecordBatch.from_arrays(
@@ -361,10 +396,11 @@ def _score_batches(shared, vocabulary, fields):
                 kinds, leaves, counts = words.look_up(tokens)
                 rows, contexts = features(tokens, bounds)
                 gain = np.empty(len(tokens))
-                for at in range(0, len(tokens), STEP):
-                    part = slice(at, at + STEP)
+                steps = [slice(at, at + STEP) for at in range(0, len(tokens), STEP)]
+                for part in steps:
                     p = _probabilities(weights, words.prior, rows[part])
                     gain[part] = np.log10(p[np.arange(len(p)), kinds[part]])
+                for part in steps:
                     gain[part] += words.forest.logs(places, contexts[part], leaves[part]) / math.log(10)
                 placed = counts > 0
                 logs = np.where(placed, np.log10(counts + SMOOTHING), 0)
@@ -421,12 +457,12 @@ def score_bucket(learn, words, contexts) -> tuple[np.ndarray, np.ndarray]:
     at = np.where(seen, at, len(names))
     leaves, counts = leaf[at], np.append(n, 0)[at]
     # Eight weights for each token learnt from.
-    weights = np.zeros(1 << max(10, min(30, (8 * int(learn.sum())).bit_length())), np.float32)
-    squares, slopes = np.zeros_like(weights), np.zeros_like(weights)
+    weights = np.zeros(1 << max(10, min(30, (8 * int(learn.sum())).bit_length())), np.complex64)
     own = np.flatnonzero(learn)
     for i in range(0, len(own), STEP):
         part = own[i:i + STEP]
-        forest.update(weights, squares, slopes, contexts[part], leaves[part])
+        forest.update(weights, contexts[part], leaves[part])
+    weights = weights.real.copy()
     gain = [forest.logs(weights, contexts[i:i + STEP], leaves[i:i + STEP]) for i in range(0, len(words), STEP)]
     return counts, np.concatenate(gain)
 

@@ -59,6 +59,7 @@ END_HASH = np.uint64(0x9D5C_30F1_6E2A_4B77)
 # The token before a text, and the seeds of the features that look one token back, two
 # together, two back and three back.
 _START = np.uint64(0x1F83_D9AB_FB41_BD6B)
+_PREFIX = np.uint64(64 - 17)
 _SEEDS = T.mix(np.arange(11, 15, dtype=np.uint64))
 
 
@@ -95,6 +96,9 @@ def token_counts(train: DataFrame) -> DataFrame:
     return stage(counted.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
 
 
+_DECISION = np.dtype([("key", "u4"), ("prior", "f4"), ("side", "f4"), ("unused", "f4")])
+
+
 class Forest:
     """Binary trees over leaves in order, one for each run of leaves. Every split leaves the
     two sides as near in mass as that order allows."""
@@ -102,42 +106,44 @@ class Forest:
     def __init__(self, mass: np.ndarray, bounds: np.ndarray):
         below = np.concatenate(([0.0], np.cumsum(mass)))
         low, high = bounds[:-1], bounds[1:]
-        leaves, keys, sides, prior = [], [], [], []
-        count = 0
+        levels, count = [], 0
         while True:
             split = high - low > 1
             low, high = low[split], high[split]
             if not len(low):
                 break
             middle = np.clip(np.searchsorted(below, (below[low] + below[high]) / 2), low + 1, high - 1)
-            odds = np.log((below[high] - below[middle]) / (below[middle] - below[low]))
-            key = T.mix(np.arange(count + 1, count + len(low) + 1, dtype=np.uint64)) >> np.uint64(32)
-            owner, leaf = _ranges(low, high - low)
-            leaves.append(leaf)
-            sides.append(leaf >= middle[owner])
-            prior.append(odds.astype(np.float32)[owner])
-            keys.append(key.astype(np.uint32)[owner])
+            prior = np.log((below[high] - below[middle]) / (below[middle] - below[low]))
+            keys = T.mix(np.arange(count + 1, count + len(low) + 1, dtype=np.uint64)) >> np.uint64(32)
+            levels.append((low, high, middle, prior, keys))
             count += len(low)
             low, high = np.concatenate((low, middle)), np.concatenate((middle, high))
-        joined = np.concatenate([*leaves, np.zeros(0, np.int64)])
-        order = np.argsort(joined, kind="stable")
-        # What a leaf's decisions need lies side by side, in the order of its path.
-        self.depth = np.bincount(joined, minlength=len(mass))
+        steps = np.zeros(len(mass) + 1, np.int64)
+        for low, high, *_ in levels:
+            steps[low] += 1
+            np.subtract.at(steps, high, 1)
+        # What the decisions of a leaf need lies side by side, from the root on.
+        self.depth = np.cumsum(steps[:-1])
         self.first = np.cumsum(self.depth) - self.depth
-        self.sides = np.concatenate([*sides, np.zeros(0, bool)])[order].astype(np.float32)
-        self.prior = np.concatenate([*prior, np.zeros(0, np.float32)])[order]
-        self.keys = np.concatenate([*keys, np.zeros(0, np.uint32)])[order]
+        self.path = np.empty(int(self.depth.sum()), _DECISION)
+        for level, (low, high, middle, prior, keys) in enumerate(levels):
+            owner, leaf = _ranges(low, high - low)
+            at = self.first[leaf] + level
+            self.path["key"][at] = keys.astype(np.uint32)[owner]
+            self.path["prior"][at] = prior.astype(np.float32)[owner]
+            self.path["side"][at] = leaf >= middle[owner]
 
     def decide(self, size: int, contexts: np.ndarray, leaves: np.ndarray):
-        """For the decisions on the way to each leaf: whose they are, their rows among
+        """For the decisions on the way to each leaf: how many they are, their rows among
         ``size`` weights, the side to take, and the prior log odds of the second side."""
-        owner, at = _ranges(self.first.take(leaves), self.depth.take(leaves))
+        depth = self.depth.take(leaves)
+        path = self.path.take(_laid(self.first.take(leaves), depth))
         shift = np.uint32(33 - size.bit_length())
-        keys = self.keys.take(at)
-        rows = np.empty((contexts.shape[1], len(owner)), np.int64)
+        keys = path["key"].copy()
+        rows = np.empty((contexts.shape[1], len(path)), np.int64)
         for i, row in enumerate(rows):
-            row[:] = (contexts[:, i].take(owner) + keys) >> shift
-        return owner, rows, self.sides.take(at), self.prior.take(at)
+            row[:] = (contexts[:, i].repeat(depth) + keys) >> shift
+        return depth, rows, path["side"].copy(), path["prior"].copy()
 
     def update(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray) -> None:
         """One gradient update; ``weights`` are complex, with the sum of the squared slopes
@@ -145,40 +151,48 @@ class Forest:
         _, rows, sides, odds = self.decide(len(weights), contexts, leaves)
         if not len(odds):
             return
-        # Weights are read and written once each and in order; a sum goes by the order of
-        # the tokens.
+        # Weights are read and written in order, and a sum goes by the order of the tokens.
         bits = rows.size.bit_length()
         ranked = np.sort((rows.ravel() << bits) | np.arange(rows.size))
         place = ranked & ((1 << bits) - 1)
         ranked >>= bits
-        new = np.append(True, ranked[1:] != ranked[:-1])
-        met, which = ranked[new], np.cumsum(new) - 1
-        held = weights.take(met)
+        again = ranked[1:] == ranked[:-1]
+        held = weights.take(ranked)
         each = np.empty(rows.size, np.float32)
-        each[place] = held.real.take(which)
+        each[place] = held.real
         for part in each.reshape(rows.shape):
             odds += part
         slope = (1 / (1 + np.exp(-odds)) - sides).view(np.float32)
-        total = np.zeros(len(met), np.float32)
-        np.add.at(total, which, np.tile(slope, len(rows)).take(place))
+        slope = np.tile(slope, len(rows)).take(place)
+        first = np.flatnonzero(np.append(True, ~again))
+        again = np.flatnonzero(again) + 1
+        total = slope.take(first)
+        np.add.at(total, again - np.arange(1, len(again) + 1), slope.take(again))
+        held = held.take(first)
         held.imag += total * total
         held.real -= RATE * total / np.sqrt(held.imag + 1)
-        weights[met] = held
+        weights[ranked.take(first)] = held
 
     def logs(self, weights: np.ndarray, contexts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Log probability of each leaf in its tree."""
-        owner, rows, sides, odds = self.decide(len(weights), contexts, leaves)
+        depth, rows, sides, odds = self.decide(len(weights), contexts, leaves)
         for row in rows:
             odds += weights.take(row)
         odds *= 1 - 2 * sides
         losses = np.maximum(odds, 0) + np.log1p(np.exp(-np.abs(odds)))
-        return -np.bincount(owner, losses, len(leaves))
+        return -np.bincount(np.arange(len(leaves)).repeat(depth), losses, len(leaves))
 
 
 def _ranges(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whose each element of some ranges is, and the elements, laid end to end."""
-    owner = np.repeat(np.arange(len(first)), lengths)
-    return owner, np.arange(len(owner)) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+    return np.repeat(np.arange(len(first)), lengths), _laid(first, lengths)
+
+
+def _laid(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The elements of some ranges, laid end to end."""
+    at = np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+    at += np.arange(len(at))
+    return at
 
 
 class Vocabulary:
@@ -214,6 +228,11 @@ class Vocabulary:
         leaf[order] = np.arange(len(order))
         by_hash = np.argsort(hashes)
         self.hashes, self.counts = hashes[by_hash], n[by_hash]
+        # By their first bits, most tokens meet one placed word at most.
+        prefix = (self.hashes >> _PREFIX).astype(np.int64)
+        met = np.bincount(prefix, minlength=1 << 17)
+        self.heads = np.minimum(np.cumsum(met) - met, max(len(hashes) - 1, 0))
+        self.crowded = met > 1
         self.leaf_class = classes[order]
         self.placed_leaf, self.bucket_leaf = leaf[:len(n)][by_hash], leaf[len(n):]
 
@@ -225,8 +244,11 @@ class Vocabulary:
         leaves = self.bucket_leaf[self.bucket(tokens)]
         counts = np.zeros(len(tokens), np.int64)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-            known = self.hashes[at] == tokens
+            prefix = (tokens >> _PREFIX).view(np.int64)
+            at = self.heads.take(prefix)
+            crowded = np.flatnonzero(self.crowded.take(prefix))
+            at[crowded] = np.minimum(np.searchsorted(self.hashes, tokens[crowded]), len(self.hashes) - 1)
+            known = self.hashes.take(at) == tokens
             leaves = np.where(known, self.placed_leaf[at], leaves)
             counts = np.where(known, self.counts[at], 0)
         return self.leaf_class[leaves], leaves, counts
@@ -248,7 +270,7 @@ def features(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     ], axis=1)
     mixed = T.mix(mixed)
     contexts = (mixed[:, :TREE_FEATURES] >> np.uint64(32)).astype(np.uint32)
-    return (mixed >> np.uint64(20)).astype(np.int64) % FEATURE_ROWS, contexts
+    return ((mixed >> np.uint64(20)) % np.uint64(FEATURE_ROWS)).view(np.int64), contexts
 
 
 def _probabilities(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -294,7 +316,7 @@ def update(weights, squares, uses, prior, rows, kinds) -> None:
     np.sqrt(square, out=square)
     total *= RATE
     total /= square
-    weights[touched] = weights.take(touched, axis=0) - total
+    weights[touched] = np.subtract(weights.take(touched, axis=0), total, out=total)
     uses[touched] += met
 
 

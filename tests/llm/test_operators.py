@@ -124,6 +124,50 @@ def test_places_and_words_sum_to_one():
     assert np.exp(gain[-8:-1])[odd].sum() > 0.75  # 4 of 7 without context
 
 
+def test_updates_add_up_like_plain_ones():
+    """A step in which rows are met often, and by several features and nodes, one by one."""
+    rng = np.random.default_rng(3)
+    rows, kinds = rng.integers(0, 40, (300, 4)), rng.integers(0, 8, 300)
+    rows[:, 1] = rng.integers(0, 3, 300)
+    weights = rng.normal(size=(40, 8)).astype(np.float32)
+    squares, uses, prior = np.ones_like(weights), np.zeros(40, np.float32), np.zeros(8, np.float32)
+    total = np.zeros((40, 8))
+    for row, kind in zip(rows, kinds):
+        p = np.exp(weights[row].sum(axis=0))
+        for r in row:
+            total[r] += p / p.sum() - (np.arange(8) == kind)
+    plain = weights - language_model.RATE * total / np.sqrt(2 + total**2)
+    language_model.update(weights, squares, uses, prior, rows, kinds)
+    assert np.allclose(weights, plain, atol=1e-4) and np.allclose(squares, 1 + total**2, rtol=1e-3)
+    assert uses.tolist() == np.bincount(rows.ravel(), minlength=40).tolist()
+
+    forest = language_model.Forest(rng.random(30) + 0.1, np.array([0, 1, 12, 30]))
+    size, leaves = 1 << 5, rng.integers(0, 30, 200)
+    contexts = rng.integers(0, 1 << 32, (200, 2), dtype=np.uint32)
+    pairs = rng.normal(size=size).astype(np.complex64)
+    old = pairs.real.astype(float)
+    total = np.zeros(size)
+    for context, leaf in zip(contexts, leaves):
+        _, met, sides, odds = forest.decide(size, context[None], np.array([leaf]))
+        slope = 1 / (1 + np.exp(-(odds + old[met].sum(axis=0)))) - sides
+        for row in met:
+            np.add.at(total, row, slope)
+    forest.update(pairs, contexts, leaves)
+    assert np.allclose(pairs.imag, total**2, rtol=1e-3, atol=1e-4)
+    assert np.allclose(pairs.real, old - language_model.RATE * total / np.sqrt(1 + total**2), atol=1e-4)
+
+
+def test_crowded_words_are_looked_up(spark):
+    """Placed words with equal first bits, and others that have them, get their own counts."""
+    tokens = (np.array([5, 5, 5, 9, 1 << 16], np.uint64) << np.uint64(47)) + np.arange(5, dtype=np.uint64)
+    counts = spark.createDataFrame([(int(t), i + 1) for i, t in enumerate(tokens.view(np.int64))], "token long, n long")
+    words = language_model.Vocabulary(counts)
+    unseen = np.array([5, 9, 7, (1 << 17) - 1], np.uint64) << np.uint64(47)
+    unseen += np.uint64(77)
+    found = words.look_up(np.concatenate((tokens, unseen)))[2]
+    assert found.tolist() == [1, 2, 3, 4, 5, 0, 0, 0, 0]
+
+
 def test_rare_words_have_context(spark, monkeypatch):
     """Words that their predecessor tells, too rare for a place: their score follows it."""
     monkeypatch.setattr(language_model, "PLACED", 100, raising=False)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandlake.llm import text as T
 from demandlake.llm.tables import stage, table, text_or_empty
 from demandlake.session import scratch_path
 
@@ -170,23 +171,31 @@ def op9_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _redacted(text: str, spans: list[dict]) -> str:
+    out, at = [], 0
+    for s in spans:
+        if s["end"] <= at:
+            continue
+        if s["start"] >= at:
+            out += [text[at:s["start"]], "[secret]"]
+        at = s["end"]
+    return "".join([*out, text[at:]])
+
+
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("__spans").to_pylist()):
-            if not spans:
-                continue
-            out, at = [], 0
-            for s in spans:
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    out += [texts[i][at:s["start"]], "[secret]"]
-                at = s["end"]
-            texts[i] = "".join([*out, texts[i][at:]])
-        yield batch.drop_columns(["__spans"]).set_column(
-            batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())
-        )
+        rest = batch.drop_columns(["__spans"])
+        place = rest.schema.get_field_index("text")
+        for first, end, _, _ in T.chunks(batch.column("text")):
+            part = rest.slice(first, end - first)
+            found = batch.column("__spans").slice(first, end - first).to_pylist()
+            if any(found):
+                texts = [
+                    _redacted(t, spans) if spans else t
+                    for t, spans in zip(part.column("text").to_pylist(), found)
+                ]
+                part = part.set_column(place, "text", pa.array(texts, pa.string()))
+            yield part
 
 
 def redact_secrets(docs: DataFrame, ledger_root: str | None = None) -> DataFrame:

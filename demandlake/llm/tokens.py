@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from demandlake.llm.text import CHUNK_BYTES
+from demandlake.llm.text import CHUNK_BYTES, give_back
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -23,6 +23,8 @@ END_ID = 1
 _REMEMBERED = 250_000
 # Words are encoded together for about so many bytes of text.
 _RUN_BYTES = 12 * CHUNK_BYTES
+# Their ids are gathered for about so many words of whole texts at a time.
+_GATHERED_WORDS = 200_000
 # Below this code point a lower-cased letter is its own normal form.
 _PLAIN = "\u0250"
 _END_SIGNS = ".,;:!?"
@@ -112,11 +114,13 @@ def encode_texts(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray,
     while first < len(texts):
         end = int(np.searchsorted(sizes, sizes[first] + _RUN_BYTES, "right")) - 1
         end = min(max(end, first + 1), len(texts))
-        yield first, *_encode_run(texts.slice(first, end - first), encoder)
+        for at, ids, bounds in _encode_run(texts.slice(first, end - first), encoder):
+            yield first + at, ids, bounds
         first = end
+        give_back()
 
 
-def _encode_run(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
+def _encode_run(texts: pa.Array, encoder: WordEncoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     if not pc.any(pc.match_substring(texts, _SPECIAL)).as_py():
         # The tokenizer would do so; fewer distinct words are left.
         texts = pc.ascii_lower(texts)
@@ -134,16 +138,24 @@ def _encode_run(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.n
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
     store = np.frombuffer(b"".join(pieces), np.uint32)
     starts = np.cumsum(lengths) - lengths
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    word = coded.indices.to_numpy(zero_copy_only=False)
+    first_word = np.concatenate(([0], np.cumsum(n_words)))
+    n_texts = len(texts)
+    del texts, parts, flat, used, coded, pieces
 
     # The end id of each text goes after its last word.
-    last = np.cumsum(n_words)
     store = np.append(store, np.uint32(END_ID))
     starts, lengths = np.append(starts, len(store) - 1), np.append(lengths, 1)
-    word = np.insert(word, last, len(starts) - 1)
-    size = lengths[word]
-    ends = np.cumsum(size)
-    source = np.repeat(starts[word] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    bounds[1:] = ends[last + np.arange(len(texts))]
-    return store[source], bounds
+    first = 0
+    while first < n_texts:
+        end = int(np.searchsorted(first_word, first_word[first] + _GATHERED_WORDS, "right")) - 1
+        end = min(max(end, first + 1), n_texts)
+        last = first_word[first + 1:end + 1] - first_word[first]
+        mine = np.insert(word[first_word[first]:first_word[end]], last, len(starts) - 1)
+        size = lengths[mine]
+        ends = np.cumsum(size)
+        source = np.repeat(starts[mine] - (ends - size), size) + np.arange(int(ends[-1]))
+        bounds = np.zeros(end - first + 1, np.int64)
+        bounds[1:] = ends[last + np.arange(end - first)]
+        yield first, store[source], bounds
+        first = end

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import brute
-from demandlake.llm import near_dedup, suffix_dedup, text, tokens
+from demandlake.llm import near_dedup, quality_rules, secrets, suffix_dedup, text, tokens
 
 
 @settings(max_examples=200, deadline=None)
@@ -99,3 +99,52 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (5, 4), (9, 8), (8, 7), (7, 6), (6, 9), (10, 1)], "a long, b long")
     found = sorted(map(tuple, near_dedup.components(edges).distinct().collect()))
     assert found == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6), (9, 6), (10, 1)]
+
+
+def _pages(n=3000):
+    """About 5 MB of texts in one batch, of which every tenth has something to take out."""
+    line = "only on this page there are words " * 48
+    return [f"Home page\n{i} {line}\n" if i % 10 else None if i % 20 else f"{i} home Page" for i in range(n)]
+
+
+def test_lines_are_cut_in_small_pieces():
+    texts = _pages()
+    data = np.frombuffer(b"Home page", np.uint8)
+    line = quality_rules.measure(data, np.array([0, len(data)]))["line"].view(np.int64).tolist()
+    cuts = [line if t and t.startswith("Home") else None if i % 3 else [] for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(texts), pa.array(cuts, pa.list_(pa.int64()))],
+        names=["doc_id", "text", "__cut_lines"],
+    )
+    parts = list(quality_rules._cut_batches(iter([batch, batch.slice(0, 0), batch.slice(7, 1)])))
+    found = [t for p in parts for t in p.column("text").to_pylist()]
+    assert [k for p in parts for k in p.column("doc_id").to_pylist()] == [*range(len(texts)), 7]
+    expected = [t and t.removeprefix("Home page\n") for t in texts]
+    assert found == [*expected, expected[7]]
+    assert max(p.nbytes for p in parts) < 2 * text.CHUNK_BYTES < batch.nbytes
+
+
+def test_secrets_are_redacted_in_small_pieces():
+    texts = _pages()
+    spans = [[{"kind": "hex", "start": 2, "end": 6}] if t and i % 10 == 1 else None for i, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(texts), pa.array(range(len(texts))), pa.array(spans, kind)], names=["text", "doc_id", "__spans"]
+    )
+    parts = list(secrets._redact_batches(iter([batch, batch.slice(0, 0)])))
+    assert [k for p in parts for k in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    expected = [f"{t[:2]}[secret]{t[6:]}" if s else t for t, s in zip(texts, spans)]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == expected
+    assert max(p.nbytes for p in parts) < 2 * text.CHUNK_BYTES < batch.nbytes
+
+
+def test_ids_are_gathered_in_small_pieces(reader):
+    texts = [None, "", " one two ", "x " * 700, *("some plain words here, " * 100 for _ in range(1500)), "", None]
+    seen = []
+    for first, ids, bounds in tokens.encode_texts(pa.array(texts, pa.string()), tokens.tokenizer_path()):
+        assert first == len(seen) and bounds[0] == 0 and bounds[-1] == len(ids)
+        assert len(ids) < 1_000_000
+        seen += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    by_text = {t: reader.encode(t or "", add_special_tokens=False).ids + [1] for t in set(texts)}
+    assert seen == [by_text[t] for t in texts]
+    assert sum(map(len, seen)) > 600_000

@@ -4,19 +4,25 @@ Each round fits a tree to what is left of the label, adds a share of it to the f
 and is measured on the validation rows. Boosting ends once the best round lies ``patience``
 rounds back, and the model is rolled back to that round.
 
-Features are binned once, so a row is a byte per feature, its label and its fitted value, in
-blocks that stay with the executors. A level of a tree is one pass over them: tasks count the
-rows, and sum what is left of the label, per node, feature and bin; the best splits follow from
-these sums, whose size does not depend on the rows. What is left of the label is rounded to
-whole numbers of a small unit, so the sums are exact in any order. The blocks are written every
-few rounds, so a lost executor costs a few passes and lineage stays short.
+Features are binned once, and the bins of a few features make one code, so that one count gives
+the sums of all of them. A row is a few codes, its label and its fitted value. A level of a tree
+is one pass over the rows: tasks count them, and sum what is left of the label, per node, feature
+and bin; the best splits follow from these sums, whose size does not depend on the rows. Of two
+children only the smaller is counted, the other is what is left of their parent. What is left of
+the label is rounded to whole numbers of a small unit, so the sums are exact in any order.
+
+All rounds are one stage whose tasks run side by side, keep their rows and hand each other the
+sums of a pass (``blocks.together``): a job for each pass costs more than the pass. Where the
+cluster cannot do that, a pass is a job over kept blocks, which are written every few rounds.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -25,7 +31,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlake.operators.blocks import Sums, numpy_blocks, summed
+from demandlake.operators.blocks import Sums, in_file, numpy_blocks, packed, side_by_side, summed, together
 from demandlake.session import scratch_root, stage
 
 # Rounds between two writes of the blocks, and bins of a number's candidate splits.
@@ -33,6 +39,11 @@ BLOCK, BINS = 50, 64
 # Training rows that candidate splits are taken from, as Spark ML does with 10,000; every row
 # counts where the splits are chosen.
 SPLIT_ROWS = 100_000
+# Bins of the features that share a code, multiplied, and rows that are counted at a time. So many
+# sums of whole numbers below 2**32 are exact as doubles.
+CODES, CHUNK = 4096, 1 << 18
+# Training rows that a task more is worth, and bytes of rows that a task holds in memory.
+TASK_ROWS, HELD = 16_384, 256 << 20
 # A unit of what is left of the label, and of its square, as shares of the greatest label.
 _UNIT_BITS, _SQUARE_BITS = 30, 40
 
@@ -73,10 +84,30 @@ class BoostedTrees:
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
         total = np.full(len(values), self.start)
-        for tree in self.trees:
-            total = total + self.rate * tree(values)
+        codes = self._codes.of([values[:, f] for f in range(len(self.features))])
+        for tree, masks in zip(self.trees, self._masks):
+            if masks is None:
+                total += self.rate * tree(values)
+                continue
+            left = None
+            for g, parts in masks[0]:
+                found = reduce(lambda a, b: (a[:, None] & b).ravel(), parts).take(codes[g])
+                left = found if left is None else left & found
+            total += masks[1].take((left * _DE_BRUIJN) >> _TOP)
         return total
 
+    @cached_property
+    def _codes(self) -> _Codes:
+        """Of bins between the thresholds that the trees have."""
+        at = [(f, t) for tree in self.trees for f, t in zip(tree.feature, tree.threshold) if f >= 0]
+        return _Codes([np.unique([t for f, t in at if f == i]).astype(float) for i in range(len(self.features))])
+
+    @cached_property
+    def _masks(self) -> list[tuple[list, np.ndarray] | None]:
+        """Of each tree, by group and feature, the leaves that each bin leaves open, a bit each,
+        and the steps of the leaves by the place of a bit; None for a tree of over 32 leaves."""
+        return [_leaf_masks(tree, self._codes, self.rate) for tree in self.trees]
+
     def predict(self) -> Column:
         """The model as a column over its feature columns."""
 
@@ -140,76 +171,276 @@ def candidate_splits(values: np.ndarray) -> np.ndarray:
     return np.array(found)
 
 
+class _Codes:
+    """Features in groups whose bins are told by one number below ``CODES``.
+
+    The code of a group counts through the bins of its features, the last one fastest; a feature
+    with more bins than that has a group of its own.
+    """
+
+    def __init__(self, cuts: Sequence[np.ndarray]) -> None:
+        self.cuts = cuts
+        self.bins = [len(c) + 1 for c in cuts]
+        self.groups: list[list[int]] = []
+        for f in sorted(range(len(cuts)), key=lambda f: -self.bins[f]):
+            fits = [g for g in self.groups if self.size(g) * self.bins[f] <= CODES]
+            if fits:
+                fits[0].append(f)
+            else:
+                self.groups.append([f])
+
+    def size(self, group: Sequence[int]) -> int:
+        return math.prod(self.bins[f] for f in group)
+
+    def of(self, values: Sequence[np.ndarray]) -> list[np.ndarray]:
+        found = []
+        for group in self.groups:
+            code = np.zeros(len(values[group[0]]), np.int64)
+            for f in group:
+                code *= self.bins[f]
+                code += np.searchsorted(self.cuts[f], values[f])
+            found.append(code)
+        return found
+
+    @cached_property
+    def bin_of(self) -> dict[int, np.ndarray]:
+        """The bins of a feature by the code of its group."""
+        return {
+            f: np.arange(self.size(group)) // self.size(group[i + 1:]) % self.bins[f]
+            for group in self.groups for i, f in enumerate(group)
+        }
+
+    def split_up(self, found: Sequence[np.ndarray], nodes: int) -> np.ndarray:
+        """Sums by feature, node and bin from those by node and code, a table a group."""
+        sums = np.zeros((len(self.bins), nodes, max(BINS, *self.bins)), np.int64)
+        for group, held in zip(self.groups, found):
+            for f in group:
+                held = held.reshape(nodes, self.bins[f], -1)
+                sums[f, :, :self.bins[f]] = held.sum(2)
+                held = held.sum(1)
+        return sums
+
+
+# Multiplied by a single bit, leaves a number in the upper five bits that tells which one it was.
+_DE_BRUIJN, _TOP, _LEAVES = np.uint32(0x077CB531), np.uint32(27), 32
+
+
+def _leaf_masks(tree: Tree, codes: _Codes, rate: float) -> tuple[list, np.ndarray] | None:
+    leaves = [i for i, f in enumerate(tree.feature) if f < 0]
+    if len(leaves) > _LEAVES:
+        return None
+    bit = {node: 1 << i for i, node in enumerate(leaves)}
+
+    def below(node: int) -> int:
+        if node not in bit:
+            bit[node] = below(int(tree.left[node])) | below(int(tree.right[node]))
+        return bit[node]
+
+    below(0)
+    full = np.uint32((1 << _LEAVES) - 1)
+    masks = [np.full(n, full) for n in codes.bins]
+    for node, f in enumerate(tree.feature):
+        if f >= 0:
+            after = int(np.searchsorted(codes.cuts[f], tree.threshold[node])) + 1
+            masks[f][:after] &= full ^ np.uint32(bit[int(tree.right[node])])
+            masks[f][after:] &= full ^ np.uint32(bit[int(tree.left[node])])
+    if len(leaves) < _LEAVES:
+        unused = full ^ np.uint32((1 << len(leaves)) - 1)
+        for mask in masks:
+            mask &= ~unused
+    steps = np.zeros(_LEAVES)
+    for i, node in enumerate(leaves):
+        steps[(1 << i) * int(_DE_BRUIJN) % 2**32 >> int(_TOP)] = rate * tree.value[node]
+    used = set(map(int, tree.feature))
+    open_ = [
+        (g, [masks[f] for f in group])
+        for g, group in enumerate(codes.groups) if not g or any(f in used for f in group)
+    ]
+    return open_, steps
+
+
 @dataclass(frozen=True)
+class _Level:
+    """The splits of a level: ``(place, feature, cut)``, where a place is that of a node among
+    those which no split has divided so far. ``first`` is the place of a node, or that of its
+    left child, at the next level; the right child comes next."""
+
+    splits: tuple[tuple[int, int, int], ...]
+    first: np.ndarray
+    codes: _Codes = field(repr=False)
+
+    @cached_property
+    def _right(self) -> list[tuple[int, np.ndarray]]:
+        """By group, the nodes at which a code goes right: a bit a node, or a row where a number
+        has no room for the bits."""
+        nodes, found = len(self.first), []
+        for g, group in enumerate(self.codes.groups):
+            mine = [s for s in self.splits if s[1] in group]
+            if not mine:
+                continue
+            if nodes <= 64:
+                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if nodes <= t(0).nbytes * 8)
+                table = np.zeros(self.codes.size(group), kind)
+            else:
+                table = np.zeros((nodes, self.codes.size(group)), bool)
+            for place, f, cut in mine:
+                right = self.codes.bin_of[f] > cut
+                if nodes <= 64:
+                    table |= right.astype(table.dtype) << table.dtype.type(place)
+                else:
+                    table[place] = right
+            found.append((g, table))
+        return found
+
+    def next(self, at: np.ndarray, codes: Sequence[np.ndarray]) -> np.ndarray:
+        found = None
+        for g, table in self._right:
+            if table.ndim == 1:
+                part = table.take(codes[g])
+            else:
+                part = table.ravel().take(at.astype(np.int64) * table.shape[1] + codes[g])
+            found = part if found is None else found | part
+        if len(self.first) <= 64:
+            found = found >> at.astype(found.dtype) & found.dtype.type(1)
+        # Where every node is divided, its left child has twice its place.
+        first = at * 2 if len(self.splits) == len(self.first) else self.first.take(at)
+        return first + found.astype(self.first.dtype)
+
+
+@dataclass
 class _Block:
-    """``bins[feature, row]``, and what the rounds so far leave of the rows' labels."""
+    """Rows by the codes of their groups, those of training first, and what the rounds so far
+    make of them."""
 
-    bins: np.ndarray
+    codes: list[np.ndarray]
     label: np.ndarray
     fitted: np.ndarray
-    held_out: np.ndarray
+    train: int
+    #: Of the tree that is growing: each row's place after so many levels, and what is left.
+    at: np.ndarray | None = None
+    levels: int = 0
+    rest: np.ndarray | None = None
+    #: Where arrays stay: as they are, or in files.
+    keep: Callable[[np.ndarray], np.ndarray] = np.asarray
+
+    def size(self) -> int:
+        """Bytes of a row: its codes, label, fitted value, place and what is left."""
+        return len(self.label) * (2 * len(self.codes) + 8 + 8 + 4 + 8)
 
+    def in_files(self) -> _Block:
+        return _Block([*map(in_file, self.codes)], in_file(self.label), in_file(self.fitted), self.train, keep=in_file)
 
-def _pack(cuts: Sequence[np.ndarray], start: float) -> Callable[[pa.RecordBatch], _Block]:
+    def places(self, levels: Sequence[_Level]) -> np.ndarray:
+        if self.at is None:
+            self.at, self.levels = np.zeros(len(self.label), np.int32), 0
+        for level in levels[self.levels:]:
+            self.at = self.keep(level.next(self.at, self.codes))
+        self.levels = len(levels)
+        return self.at
+
+    def left(self, unit: float) -> np.ndarray:
+        if self.rest is None:
+            self.rest = self.keep(np.rint((self.label[:self.train] - self.fitted[:self.train]) / unit))
+        return self.rest
+
+
+def _pack(codes: _Codes, start: float) -> Callable[[pa.RecordBatch], _Block]:
     def pack(batch: pa.RecordBatch) -> _Block:
         *values, label, held_out = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held_out, label = held_out.astype(bool), label.astype(float)
         values = [v.astype(float) for v in values]
         if any(np.isnan(v).any() for v in values) or not np.isfinite(label[~held_out]).all():
             raise ValueError("features and training labels must be numbers, not null")
-        bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, values)]).astype(np.uint8)
-        return _Block(bins, label, np.full(len(label), start), held_out)
+        order = np.argsort(held_out, kind="stable")
+        narrow = [c[order].astype(np.uint16) for c in codes.of(values)]
+        return _Block(narrow, label[order], np.full(len(label), start), int((~held_out).sum()))
 
     return pack
 
 
+def _joined(blocks: Iterator[_Block]) -> Iterator[_Block]:
+    """Blocks of about ``CHUNK`` rows, for small ones cost more than their rows."""
+
+    def join(held: list[_Block]) -> _Block:
+        def rows(of: Callable[[_Block], np.ndarray]) -> np.ndarray:
+            return np.concatenate([of(b)[:b.train] for b in held] + [of(b)[b.train:] for b in held])
+
+        codes = [rows(lambda b: b.codes[g]) for g in range(len(held[0].codes))]
+        return _Block(codes, rows(lambda b: b.label), rows(lambda b: b.fitted), sum(b.train for b in held))
+
+    held, n = [], 0
+    for block in blocks:
+        if held and n + len(block.label) > CHUNK:
+            yield join(held)
+            held, n = [], 0
+        held.append(block)
+        n += len(block.label)
+    if held:
+        yield join(held)
+
+
 @dataclass
 class _Growing:
-    """A tree while it grows; ``cut`` is the last bin that goes left, and ``slot`` the place of
-    an open node among the sums of its level, or the number of open nodes."""
+    """A tree while it grows: ``places`` are the nodes that no split has divided so far."""
 
     feature: list[int]
     cut: list[int]
     left: list[int]
     right: list[int]
     value: list[float]
-    slot: list[int]
-    levels: int = 0
+    places: list[int]
+    levels: list[_Level] = field(default_factory=list)
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, left, right = map(np.array, (self.feature, self.cut, self.left, self.right))
-        at = np.zeros(bins.shape[1], np.int64)
-        row = np.arange(bins.shape[1])
-        for _ in range(self.levels):
-            at = np.where(bins[np.maximum(feature[at], 0), row] <= cut[at], left[at], right[at])
-        return at
+    def split(self, codes: _Codes, splits: dict[int, tuple[int, int]]) -> None:
+        """Divide nodes whose children are there."""
+        first, places = [], []
+        for node in self.places:
+            first.append(len(places))
+            places += [self.left[node], self.right[node]] if node in splits else [node]
+        at = tuple((self.places.index(n), *s) for n, s in splits.items())
+        self.levels.append(_Level(at, np.array(first, np.int32), codes))
+        self.places = places
 
 
 def _advanced(tree: _Growing, rate: float) -> Callable[[_Block], _Block]:
     """Adds a share of the tree to the fitted values."""
+    step = rate * np.array([tree.value[n] for n in tree.places])
 
     def advance(block: _Block) -> _Block:
-        step = np.array(tree.value)[tree.nodes(block.bins)]
-        return _Block(block.bins, block.label, block.fitted + rate * step, block.held_out)
+        block.fitted += step.take(block.places(tree.levels))
+        block.at = block.rest = None
+        return block
 
     return advance
 
 
-def _histograms(tree: _Growing, opened: int, unit: float) -> Callable[[_Block], Sums]:
-    """Rows and what is left of their labels by open node, feature and bin."""
+def _histograms(
+    codes: _Codes, unit: float, levels: Sequence[_Level] = (), places: Sequence[int] = (0,)
+) -> Callable[[_Block], Sums]:
+    """Rows and what is left of their labels by feature, node and bin, of the nodes at some of
+    the places."""
+    slots = np.full(len(levels[-1].first) + len(levels[-1].splits) if levels else 1, len(places), np.int32)
+    slots[list(places)] = np.arange(len(places))
+    levels = tuple(levels)
 
     def count(block: _Block) -> Sums:
-        train = ~block.held_out
-        bins = block.bins[:, train]
-        rest = np.rint((block.label[train] - block.fitted[train]) / unit)
-        slot = np.array(tree.slot)[tree.nodes(bins)] * BINS
-        size = (opened + 1) * BINS
-        places = [slot + b for b in bins]
-        rows = np.stack([np.bincount(p, minlength=size) for p in places])
-        # Whole numbers below 2**53 in a block, so exact as doubles.
-        left = np.stack([np.bincount(p, rest, size) for p in places]).astype(np.int64)
-        shape = (len(bins), opened + 1, BINS)
-        return Sums((rows.reshape(shape)[:, :opened], left.reshape(shape)[:, :opened]))
+        rest, slot, wanted = block.left(unit), None, None
+        if levels:
+            slot = slots.take(block.places(levels)[:block.train])
+            wanted = np.flatnonzero(slot < len(places))
+            slot, rest = slot.take(wanted).astype(np.int64), rest.take(wanted)
+        rows, left = [], []
+        for group, code in zip(codes.groups, block.codes):
+            size = codes.size(group)
+            if slot is None:
+                place = code[:block.train].astype(np.int64)
+            else:
+                place = slot * size
+                place += code.take(wanted)
+            rows.append(np.bincount(place, minlength=len(places) * size))
+            # Whole numbers below 2**53 in a block, so exact as doubles.
+            left.append(np.bincount(place, rest, len(places) * size))
+        return Sums((codes.split_up(rows, len(places)), codes.split_up(left, len(places))))
 
     return count
 
@@ -218,7 +449,7 @@ def _errors(square: float) -> Callable[[_Block], Sums]:
     """Squared errors of validation rows, as whole numbers, and how many these are."""
 
     def measure(block: _Block) -> Sums:
-        error = (block.label - block.fitted)[block.held_out]
+        error = block.label[block.train:] - block.fitted[block.train:]
         error = error[~np.isnan(error)]
         whole = np.rint(error * error / square)
         high = np.floor(whole / 2**32)
@@ -243,34 +474,119 @@ def _best_split(rows: np.ndarray, left: np.ndarray, cuts: Sequence[np.ndarray],
 
 
 def _grow(
-    first: Sums, pass_over: Callable[[Callable], Sums], cuts: Sequence[np.ndarray], depth: int, least_leaf: int, unit: float
+    first: Sums, pass_over: Callable[[Callable], Sums], codes: _Codes, depth: int, least_leaf: int, unit: float
 ) -> _Growing | None:
     """The next tree, level by level, from the sums of its root; None where no split is left."""
     tree = _Growing([-1], [0], [0], [0], [0.0], [0])
-    opened = [0]
-    rows, left = first
+    # Sums of the open nodes, by feature and bin.
+    opened = {0: tuple(part[:, 0] for part in first)}
     for level in range(depth):
-        if level:
-            rows, left = pass_over(_histograms(tree, len(opened), unit))
-        children = []
-        for slot, node in enumerate(opened):
-            found = _best_split(rows[:, slot], left[:, slot], cuts, least_leaf)
+        splits, families = {}, []
+        for node, sums in opened.items():
+            found = _best_split(*sums, codes.cuts, least_leaf)
             if found is None:
                 continue
-            tree.feature[node], tree.cut[node] = found[:2]
+            tree.feature[node], tree.cut[node] = splits[node] = found[:2]
             for side, (n, total) in zip((tree.left, tree.right), found[2:]):
                 side[node] = child = len(tree.value)
-                children.append(child)
                 for values, value in ((tree.feature, -1), (tree.cut, 0), (tree.left, child), (tree.right, child)):
                     values.append(value)
                 tree.value.append(total / n * unit)
-        if not children:
+            pair = tree.left[node], tree.right[node]
+            families.append((node, *(pair if found[2][0] <= found[3][0] else pair[::-1])))
+        if not families:
             break
-        tree.levels, opened = level + 1, children
-        tree.slot = [children.index(i) if i in children else len(children) for i in range(len(tree.value))]
+        tree.split(codes, splits)
+        if level + 1 < depth:
+            places = [tree.places.index(small) for _, small, _ in families]
+            counted = pass_over(_histograms(codes, unit, tree.levels, places))
+            found = {}
+            for slot, (node, small, large) in enumerate(families):
+                found[small] = tuple(part[:, slot] for part in counted)
+                found[large] = tuple(whole - part for whole, part in zip(opened[node], found[small]))
+            opened = {node: found[node] for node in sorted(found)}
     return tree if tree.levels else None
 
 
+class _Jobs:
+    """A pass is a job over blocks that stay with the executors."""
+
+    def __init__(self, rows: DataFrame, pack: Callable[[pa.RecordBatch], _Block]) -> None:
+        context = rows.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(scratch_root(rows.sparkSession))
+        self.state: RDD = numpy_blocks(rows, pack, _joined)
+        self.before: RDD | None = None
+        self.rounds = 0
+
+    def summed(self, sums: Callable[[_Block], Sums]) -> Sums:
+        found = summed(self.state, sums)
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
+        return found
+
+    def advance(self, advanced: Callable[[_Block], _Block]) -> None:
+        self.before, self.state = self.state, self.state.map(advanced).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rounds += 1
+        if self.rounds % BLOCK == 0:
+            self.state.checkpoint()
+
+
+class _Held:
+    """A pass goes over the blocks that this task holds, and adds the sums of all tasks. What
+    memory has no room for is held in files."""
+
+    def __init__(self, blocks: Iterator[_Block], exchange: Callable[[Sums | None], Sums]) -> None:
+        self.blocks, self.exchange, size = [], exchange, 0
+        for block in blocks:
+            size += block.size()
+            self.blocks.append(block if size <= HELD else block.in_files())
+
+    def summed(self, sums: Callable[[_Block], Sums]) -> Sums:
+        return self.exchange(reduce(add, map(sums, self.blocks)) if self.blocks else None)
+
+    def advance(self, advanced: Callable[[_Block], _Block]) -> None:
+        for block in self.blocks:
+            advanced(block)
+
+
+@dataclass(frozen=True)
+class _Fit:
+    codes: _Codes
+    unit: float
+    square: float
+    measured: bool
+    rounds: int
+    rate: float
+    depth: int
+    patience: int
+    least_leaf: int
+
+    def boost(self, rows: _Jobs | _Held) -> tuple[tuple[Tree, ...], tuple[float, ...]]:
+        """The trees that stay, and the validation error after each round."""
+        root, measure = _histograms(self.codes, self.unit), _errors(self.square)
+        sums = rows.summed(root)
+        trees: list[Tree] = []
+        curve: list[float] = []
+        ended = False
+        while not ended and len(trees) < self.rounds:
+            grown = _grow(sums, rows.summed, self.codes, self.depth, self.least_leaf, self.unit)
+            if grown is None:
+                break
+            threshold = [self.codes.cuts[f][c] if f >= 0 else 0.0 for f, c in zip(grown.feature, grown.cut)]
+            value = [0.0 if f >= 0 else v for f, v in zip(grown.feature, grown.value)]
+            trees.append(Tree.of([*zip(grown.feature, threshold, grown.left, grown.right, value)], self.depth))
+            rows.advance(_advanced(grown, self.rate))
+            # One pass advances the rows, measures the round and begins the next tree.
+            *sums, error, n = rows.summed(lambda b: Sums((*root(b), *measure(b))))
+            if self.measured:
+                curve.append(error * self.square / n if n else math.nan)
+                ended = best_round(curve, self.patience)[1]
+        kept = best_round(curve, self.patience)[0] if self.measured else len(trees)
+        return tuple(trees[:kept]), tuple(curve)
+
+
 def fit_boosted(
     frame: DataFrame,
     features: Sequence[str],
@@ -310,35 +626,14 @@ def fit_boosted(
     start = float(total["total"] / total["n"]) * unit
     drawn = train if facts["n"] <= SPLIT_ROWS else train.sample(SPLIT_ROWS / facts["n"], seed)
     drawn = drawn.select(*rows.columns[:-2]).toArrow()  # about SPLIT_ROWS rows at most
-    cuts = [candidate_splits(c.to_numpy()) for c in drawn.columns]
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_root(spark))
-
-    state: RDD = numpy_blocks(rows, _pack(cuts, start))
-    root = _histograms(_Growing([-1], [0], [0], [0], [0.0], [0]), 1, unit)
-    sums = summed(state, root)
-    trees: list[Tree] = []
-    curve: list[float] = []
-    ended = False
-    while not ended and len(trees) < rounds:
-        grown = _grow(sums, lambda count: summed(state, count), cuts, depth, least_leaf, unit)
-        if grown is None:
-            break
-        threshold = [cuts[f][c] if f >= 0 else 0.0 for f, c in zip(grown.feature, grown.cut)]
-        value = [0.0 if f >= 0 else v for f, v in zip(grown.feature, grown.value)]
-        trees.append(Tree.of([*zip(grown.feature, threshold, grown.left, grown.right, value)], depth))
-        before, state = state, state.map(_advanced(grown, rate)).persist(StorageLevel.MEMORY_AND_DISK)
-        if len(trees) % BLOCK == 0:
-            state.checkpoint()
-        # One pass advances the rows, measures the round and begins the next tree.
-        measure = _errors(square)
-        rows_, left, error, n = summed(state, lambda b: Sums((*root(b), *measure(b))))
-        sums = Sums((rows_, left))
-        before.unpersist()
-        if measured:
-            curve.append(error * square / n if n else math.nan)
-            ended = best_round(curve, patience)[1]
-    state.unpersist()
-    kept = best_round(curve, patience)[0] if measured else len(trees)
-    return BoostedTrees(tuple(features), start, rate, tuple(trees[:kept]), tuple(curve))
+    codes = _Codes([candidate_splits(c.to_numpy()) for c in drawn.columns])
+    fit = _Fit(codes, unit, square, measured, rounds, rate, depth, patience, least_leaf)
+    pack = _pack(codes, start)
+    tasks = side_by_side(spark, math.ceil(facts["n"] / TASK_ROWS))
+    if tasks:
+        trees, curve = together(packed(rows, pack), tasks, lambda blocks, exchange: fit.boost(_Held(_joined(blocks), exchange)))
+    else:
+        jobs = _Jobs(rows, pack)
+        trees, curve = fit.boost(jobs)
+        jobs.state.unpersist()
+    return BoostedTrees(tuple(features), start, rate, trees, curve)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from demandlake import queries
-from demandlake.operators import boosting, mixture, pricing, quality, ranks, retail, segment
+from demandlake.operators import blocks, boosting, mixture, pricing, quality, ranks, retail, segment
 
 # --- Boosting ------------------------------------------------------------------
 
@@ -296,3 +296,88 @@ def test_lines_are_moved_without_parts_of_their_date(spark):
         retail.product_features = real
     assert "dow" not in seen[0] and "year" not in seen[0]
     assert (row["year"], row["month"], row["day"], row["dow"], row["payment_method"]) == (2020, 3, 1, 1, "A")
+
+
+# --- Boosting in one stage -----------------------------------------------------
+
+
+def _same_trees(one, other):
+    assert one.curve == other.curve and len(one.trees) == len(other.trees) > 0
+    for a, b in zip(one.trees, other.trees):
+        for part in ("feature", "threshold", "left", "right", "value"):
+            assert (getattr(a, part) == getattr(b, part)).all()
+
+
+def test_rounds_are_one_stage_with_the_trees_of_jobs(spark, lines, monkeypatch):
+    context = spark.sparkContext
+
+    def fit(rounds):
+        group = f"rounds-{rounds}-{len(found)}"
+        context.setJobGroup(group, "")
+        model = boosting.fit_boosted(lines, ["a", "b", "c"], "y", "val", rounds=rounds, depth=3)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return model, len(context.statusTracker().getJobIdsForGroup(group))
+
+    found = []
+    monkeypatch.setattr(boosting, "TASK_ROWS", 400)
+    for rounds in (4, 24):
+        found.append(fit(rounds))
+    assert found[0][1] == found[1][1]
+    monkeypatch.setattr(boosting, "HELD", 0)
+    monkeypatch.setattr(boosting, "CHUNK", 100)
+    found.append(fit(24))
+    monkeypatch.setattr(boosting, "side_by_side", lambda *_: 0)
+    found.append(fit(24))
+    _same_trees(found[1][0], found[2][0])
+    _same_trees(found[1][0], found[3][0])
+
+
+def test_a_task_without_rows_takes_part(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id * 1D AS a", "id % 4 = 0 AS val", "id % 7 * 1D AS y")
+    one = boosting.fit_boosted(df.coalesce(1), ["a"], "y", "val", rounds=3, least_leaf=2)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 1)
+    _same_trees(one, boosting.fit_boosted(df.coalesce(1), ["a"], "y", "val", rounds=3, least_leaf=2))
+
+
+@given(st.integers(1, 5), st.integers(0, 9999), st.integers(0, 9))
+@settings(max_examples=40, deadline=None)
+def test_leaves_by_masks_are_those_of_a_walk(depth, seed, missing):
+    rng = np.random.default_rng(seed)
+    thresholds = [np.sort(rng.normal(size=n)) for n in rng.integers(1, 64, 4)]
+
+    def grow(level, rows):
+        at = len(rows)
+        rows.append((-1, 0.0, at, at, float(rng.normal())))
+        if level < depth and (not level or rng.random() < 0.8):
+            f = int(rng.integers(4))
+            left, right = grow(level + 1, rows), grow(level + 1, rows)
+            rows[at] = (f, float(rng.choice(thresholds[f])), left, right, 0.0)
+        return at
+
+    trees = []
+    for _ in range(5):
+        grow(0, rows := [])
+        trees.append(boosting.Tree.of(rows, depth))
+    model = boosting.BoostedTrees(("a", "b", "c", "d"), 0.25, 0.1, tuple(trees))
+    x = rng.normal(size=(300, 4))
+    x[:40] = [rng.choice(t, 40) for t in thresholds][0][:, None]
+    x[:missing] = np.nan
+    walked = np.full(len(x), 0.25)
+    for tree in trees:
+        walked = walked + 0.1 * tree(x)
+    assert (model(x) == walked).all()
+
+
+def test_wide_levels_and_deep_trees(spark, lines):
+    """Over 64 nodes a level, and over 32 leaves a tree."""
+    model = boosting.fit_boosted(lines, ["a", "b", "c"], "y", "val", rounds=2, rate=1.0, depth=9, least_leaf=1)
+    assert max(len(t.value) for t in model.trees) > 200
+    scored = lines.withColumn("p", model.predict())
+    error = scored.where("val").select(F.avg((F.col("y") - F.col("p")) ** 2)).first()[0]
+    assert error == pytest.approx(model.curve[len(model.trees) - 1], rel=1e-9)
+
+
+def test_only_shared_folders_are_opened(spark):
+    assert blocks._shared("file:///a/b", spark) == "/a/b" and blocks._shared("file:/a/b", spark) == "/a/b"
+    assert blocks._shared("/a/b", spark) == "/a/b" and blocks._shared("hdfs://host/a", spark) is None
+    assert blocks.side_by_side(spark, 1) == 1 and blocks.side_by_side(spark, 1000) == 4

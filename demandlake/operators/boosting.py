@@ -43,7 +43,7 @@ SPLIT_ROWS = 100_000
 # sums of whole numbers below 2**32 are exact as doubles.
 CODES, CHUNK = 4096, 1 << 18
 # Training rows that a task more is worth, and bytes of rows that a task holds in memory.
-TASK_ROWS, HELD = 16_384, 256 << 20
+TASK_ROWS, HELD = 16_384, 96 << 20
 # A unit of what is left of the label, and of its square, as shares of the greatest label.
 _UNIT_BITS, _SQUARE_BITS = 30, 40
 
@@ -303,7 +303,8 @@ class _Level:
         if len(self.first) <= 64:
             found = found >> at.astype(found.dtype) & found.dtype.type(1)
         # Where every node is divided, its left child has twice its place.
-        first = at * 2 if len(self.splits) == len(self.first) else self.first.take(at)
+        all_divided = at.dtype == self.first.dtype and len(self.splits) == len(self.first)
+        first = at * at.dtype.type(2) if all_divided else self.first.take(at)
         return first + found.astype(self.first.dtype)
 
 
@@ -318,31 +319,49 @@ class _Block:
     train: int
     #: Of the tree that is growing: each row's place after so many levels, and what is left.
     at: np.ndarray | None = None
-    levels: int = 0
+    levels: int = -1
     rest: np.ndarray | None = None
-    #: Where arrays stay: as they are, or in files.
-    keep: Callable[[np.ndarray], np.ndarray] = np.asarray
+    in_files: bool = False
 
     def size(self) -> int:
-        """Bytes of a row: its codes, label, fitted value, place and what is left."""
-        return len(self.label) * (2 * len(self.codes) + 8 + 8 + 4 + 8)
+        """Bytes of the rows: codes, label, fitted value, place and what is left."""
+        return len(self.label) * (2 * len(self.codes) + self.label.itemsize + 8 + 1 + 4)
 
-    def in_files(self) -> _Block:
-        return _Block([*map(in_file, self.codes)], in_file(self.label), in_file(self.fitted), self.train, keep=in_file)
+    def to_files(self) -> _Block:
+        return _Block([*map(in_file, self.codes)], in_file(self.label), in_file(self.fitted), self.train, in_files=True)
+
+    def _kept(self, new: np.ndarray, old: np.ndarray | None) -> np.ndarray:
+        if not self.in_files:
+            return new
+        if old is None or old.dtype != new.dtype:
+            return in_file(new)
+        old[:] = new
+        return old
 
     def places(self, levels: Sequence[_Level]) -> np.ndarray:
-        if self.at is None:
-            self.at, self.levels = np.zeros(len(self.label), np.int32), 0
+        if self.levels < 0:
+            self.at, self.levels = self._kept(np.zeros(len(self.label), np.uint8), self.at), 0
         for level in levels[self.levels:]:
-            self.at = self.keep(level.next(self.at, self.codes))
+            self.at = self._kept(level.next(self.at, self.codes), self.at)
         self.levels = len(levels)
         return self.at
 
     def left(self, unit: float) -> np.ndarray:
-        if self.rest is None:
-            self.rest = self.keep(np.rint((self.label[:self.train] - self.fitted[:self.train]) / unit))
+        if self.levels < 0 or self.rest is None:
+            rest = (self.label[:self.train] - self.fitted[:self.train]) / unit
+            np.rint(rest, out=rest)
+            if rest.size and max(rest.max(), -rest.min()) < 2**31:
+                rest = rest.astype(np.int32)
+            self.rest = self._kept(rest, self.rest)
+            self.places(())
         return self.rest
 
+    def advance(self, steps: np.ndarray, levels: Sequence[_Level]) -> None:
+        self.fitted += steps.take(self.places(levels))
+        self.levels = -1
+        if not self.in_files:
+            self.at = self.rest = None
+
 
 def _pack(codes: _Codes, start: float) -> Callable[[pa.RecordBatch], _Block]:
     def pack(batch: pa.RecordBatch) -> _Block:
@@ -353,6 +372,10 @@ def _pack(codes: _Codes, start: float) -> Callable[[pa.RecordBatch], _Block]:
             raise ValueError("features and training labels must be numbers, not null")
         order = np.argsort(held_out, kind="stable")
         narrow = [c[order].astype(np.uint16) for c in codes.of(values)]
+        # Half the room where it holds the same numbers.
+        with np.errstate(over="ignore"):
+            half = label.astype(np.float32)
+        label = half if np.array_equal(half, label, equal_nan=True) else label
         return _Block(narrow, label[order], np.full(len(label), start), int((~held_out).sum()))
 
     return pack
@@ -398,7 +421,7 @@ class _Growing:
             first.append(len(places))
             places += [self.left[node], self.right[node]] if node in splits else [node]
         at = tuple((self.places.index(n), *s) for n, s in splits.items())
-        self.levels.append(_Level(at, np.array(first, np.int32), codes))
+        self.levels.append(_Level(at, np.array(first, np.uint8 if len(places) <= 256 else np.int32), codes))
         self.places = places
 
 
@@ -407,8 +430,7 @@ def _advanced(tree: _Growing, rate: float) -> Callable[[_Block], _Block]:
     step = rate * np.array([tree.value[n] for n in tree.places])
 
     def advance(block: _Block) -> _Block:
-        block.fitted += step.take(block.places(tree.levels))
-        block.at = block.rest = None
+        block.advance(step, tree.levels)
         return block
 
     return advance
@@ -541,7 +563,7 @@ class _Held:
         self.blocks, self.exchange, size = [], exchange, 0
         for block in blocks:
             size += block.size()
-            self.blocks.append(block if size <= HELD else block.in_files())
+            self.blocks.append(block if size <= HELD else block.to_files())
 
     def summed(self, sums: Callable[[_Block], Sums]) -> Sums:
         return self.exchange(reduce(add, map(sums, self.blocks)) if self.blocks else None)

@@ -5,6 +5,7 @@ import statistics
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -381,3 +382,21 @@ def test_only_shared_folders_are_opened(spark):
     assert blocks._shared("file:///a/b", spark) == "/a/b" and blocks._shared("file:/a/b", spark) == "/a/b"
     assert blocks._shared("/a/b", spark) == "/a/b" and blocks._shared("hdfs://host/a", spark) is None
     assert blocks.side_by_side(spark, 1) == 1 and blocks.side_by_side(spark, 1000) == 4
+
+
+def test_rows_are_held_in_few_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(4, 5000)), rng.integers(0, 50, 5000)
+    codes = boosting._Codes([boosting.candidate_splits(v) for v in x])
+    assert len(codes.groups) == 2
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(y * 1.0), pa.array(y == 3)], names=list("abcdyv"))
+    block = boosting._pack(codes, 0.0)(batch)
+    # Two codes, label, fitted value, place and what is left.
+    assert block.size() == 5000 * (2 * 2 + 4 + 8 + 1 + 4) and block.train == (y != 3).sum()
+    monkeypatch.setattr(boosting, "HELD", 0)
+    held = boosting._Held(iter([block]), lambda sums: sums)
+    rows, left = held.summed(boosting._histograms(codes, 2.0**-20))
+    assert rows.sum() == 4 * block.train and left.sum() == 4 * y[y != 3].sum() << 20
+    kept = held.blocks[0]
+    assert all(isinstance(a, np.memmap) for a in (*kept.codes, kept.label, kept.fitted, kept.at, kept.rest))
+    assert kept.rest.dtype == np.int32 and kept.at.dtype == np.uint8
